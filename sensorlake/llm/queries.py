@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import chat_format, jaccard_join, url_filter
+from sensorlake.llm import chat_format, jaccard_join, quality_rules, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,9 @@ reach(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, l.b FROM
 comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM comp LEFT JOIN n USING (doc_id)
 """
+
+
+@query
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules.judge(docs, quality_rules.fit_field(docs, table(spark, sf_dir, "labels"))).drop("labels")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import chat_format, jaccard_join, quality_rules, url_filter
+from sensorlake.llm import chat_format, decontaminate, jaccard_join, quality_rules, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,21 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id FROM comp LEFT JOIN n
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit_field(docs, table(spark, sf_dir, "labels"))).drop("labels")
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLES["op2_decontamination"] = f"""
+WITH i AS (SELECT item_id, {SQL_LOWER} AS w FROM benchmark),
+q AS (SELECT DISTINCT item_id, least(5, len(w)) AS k, unnest(list_transform(range(1, len(w) - least(5, len(w)) + 2), lambda j: array_to_string(w[j:j + least(5, len(w)) - 1], ' '))) AS g
+      FROM i WHERE len(w) > 0),
+n AS (SELECT item_id, count(*) AS n_shingles FROM q GROUP BY item_id),
+d AS (SELECT doc_id, {SQL_LOWER} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, CAST(len(w) - k + 2 AS BIGINT)), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS g
+      FROM d, (SELECT DISTINCT k FROM q) WHERE len(w) >= k)
+SELECT doc_id, item_id, any_value(n_shingles) AS n_shingles, count(*) AS n_common
+FROM s JOIN q USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n_shingles)
+"""

@@ -29,3 +29,37 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release() -> None:
+    """Lets Spark drop the shuffle files of steps that nothing refers to any more."""
+    import gc
+
+    gc.collect()
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of intermediate files through the file system that it is in."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+class BucketedTable:
+    """A written table whose rows lie in hash buckets of a key, each bucket in one sorted file: joins and
+    aggregates on the key read it without a shuffle."""
+
+    def __init__(self, df: DataFrame, name: str, key: str, buckets: int):
+        self.spark = df.sparkSession
+        self.path, self.table = scratch_path(self.spark, name), f"scratch_{uuid.uuid4().hex}"
+        dealt = df.repartition(buckets, key)
+        dealt.write.option("path", self.path).option("compression", "zstd").bucketBy(buckets, key).sortBy(key).saveAsTable(self.table)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.table)
+
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        discard(self.spark, self.path)

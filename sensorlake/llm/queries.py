@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import chat_format, decontaminate, jaccard_join, quality_rules, url_filter
+from sensorlake.llm import chat_format, decontaminate, jaccard_join, quality_rules, substring_dedup, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -117,3 +117,22 @@ s AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, CAST(len(w) - k
 SELECT doc_id, item_id, any_value(n_shingles) AS n_shingles, count(*) AS n_common
 FROM s JOIN q USING (k, g) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING 100 * count(*) >= 80 * any_value(n_shingles)
 """
+
+
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduplicate(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLES["op3_substring_dedup"] = f"""
+WITH d AS (SELECT doc_id, {SQL_WORDS} AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 18)) AS i, w FROM d WHERE len(w) >= 20),
+g AS (SELECT doc_id, i, sha256(array_to_string(w[i:i + 19], ' ')) AS h FROM x),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY h ORDER BY doc_id, i) AS nth FROM g),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM r, range(0, 20) AS t(j) WHERE nth > 1),
+lost AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
+       sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda v, p: NOT list_contains(ps, p)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id)
+"""

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import chat_format, decontaminate, jaccard_join, quality_rules, substring_dedup, url_filter
+from sensorlake.llm import chat_format, decontaminate, jaccard_join, packing, quality_rules, substring_dedup, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -136,3 +137,8 @@ SELECT doc_id, len(w) AS n_words, coalesce(len(ps), 0) AS n_removed,
        sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda v, p: NOT list_contains(ps, p)) END, ' ')) AS kept_sha256
 FROM d LEFT JOIN lost USING (doc_id)
 """
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))

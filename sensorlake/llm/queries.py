@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import chat_format, decontaminate, jaccard_join, packing, quality_rules, substring_dedup, url_filter
+from sensorlake.llm import chat_format, decontaminate, jaccard_join, language_id, packing, quality_rules, substring_dedup, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -142,3 +142,11 @@ FROM d LEFT JOIN lost USING (doc_id)
 @query
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    model = language_id.fit_languages(docs.where("NOT held_out"))
+    found = language_id.identify(docs.withColumn("key", F.struct("doc_id", "held_out")), model, id_col="key")
+    return found.select("key.doc_id", "key.held_out", "lang_pred", "score")

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import chat_format, decontaminate, jaccard_join, language_id, packing, quality_rules, substring_dedup, url_filter
+from sensorlake.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, substring_dedup, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.fit_languages(docs.where("NOT held_out"))
     found = language_id.identify(docs.withColumn("key", F.struct("doc_id", "held_out")), model, id_col="key")
     return found.select("key.doc_id", "key.held_out", "lang_pred", "score")
+
+
+@query
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+
+
+ORACLES["op8_line_dedup"] = r"""
+WITH l AS (SELECT doc_id, p, a[p] AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, len(a) + 1)) AS p)),
+f AS (SELECT s, min((doc_id, p)) AS first, length(s) AS n FROM l WHERE length(s) >= 20 GROUP BY s),
+c AS (SELECT s, first, n, n AS c FROM f UNION ALL SELECT s, first, n, n - 1 FROM f),
+k AS (SELECT s, first, n, c, 'l' AS side, left(s, c // 2) AS h FROM c UNION ALL SELECT s, first, n, c, 'r', right(s, c - c // 2) FROM c),
+near AS (SELECT DISTINCT b.s FROM k a JOIN k b USING (c, side, h) WHERE a.first < b.first AND levenshtein(a.s, b.s) <= 1),
+gone AS (SELECT l.doc_id, l.p, l.s FROM l JOIN f USING (s) WHERE (l.doc_id, l.p) <> f.first OR l.s IN (SELECT s FROM near)),
+m AS (SELECT l.doc_id, count(*) AS n_lines, count(g.p) AS n_removed, string_agg(CASE WHEN g.p IS NULL THEN l.s END, chr(10) ORDER BY l.p) AS kept
+      FROM l LEFT JOIN gone g ON g.doc_id = l.doc_id AND g.p = l.p GROUP BY l.doc_id)
+SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text
+FROM documents d LEFT JOIN m USING (doc_id)
+"""

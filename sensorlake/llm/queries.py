@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import chat_format, decontaminate, jaccard_join, language_id, line_dedup, packing, quality_rules, substring_dedup, url_filter
+from sensorlake.llm import chat_format, decontaminate, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules, substring_dedup, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -170,3 +170,8 @@ m AS (SELECT l.doc_id, count(*) AS n_lines, count(g.p) AS n_removed, string_agg(
 SELECT d.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, CASE WHEN text IS NOT NULL THEN coalesce(kept, '') END AS text
 FROM documents d LEFT JOIN m USING (doc_id)
 """
+
+
+@query
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.scratch import stored
+from sensorlake.scratch import forget, stored
 
 
 def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -19,6 +19,7 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
     both = stored(both.union(both.select("y", "x")).distinct(), "links")
     labels = stored(both.groupBy("x").agg(F.min("y").alias("m")).select(
         F.col("x").alias("node"), F.least("x", "m").alias("component")), "labels")
+    last = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("y"), F.col("component").alias("c")), "y")
         near = near.groupBy("x").agg(F.min("c").alias("c"))
@@ -29,6 +30,8 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
             "node", F.least("next", F.coalesce("further", "next")).alias("new"), "component")
         done = stored(jumped, "labels")
         changed = done.where("new <> component").limit(1).count()
-        labels = done.select("node", F.col("new").alias("component"))
+        forget(last)
+        last, labels = done, done.select("node", F.col("new").alias("component"))
         if not changed:
+            forget(both)
             return labels

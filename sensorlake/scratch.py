@@ -28,7 +28,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch_path = path
+    return written
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes the files of stored tables that no later step reads, and lets Spark drop old shuffle files."""
+    for table in tables:
+        discard(table.sparkSession, table.scratch_path)
+    release()
 
 
 def release() -> None:

@@ -116,3 +116,11 @@ def norm2(x: Column, y: Column) -> Column:
 
 def norm3(x: Column, y: Column, z: Column) -> Column:
     return F.sqrt(x * x + y * y + z * z)
+
+
+def between_poses(v: Vector, here: tuple[Column, ...], there: tuple[Column, ...], e: Extrinsics = Extrinsics()) -> Vector:
+    """A lidar point seen at pose here as lidar coordinates at pose there; poses: lat, lon, height, roll, pitch, heading."""
+    out = apply(attitude(*here[3:]), lidar_to_body(v, e))
+    ecef = add(geodetic_to_ecef(*here[:3]), apply(transposed(enu_from_ecef(*here[:2])), out))
+    gap = tuple(a - b for a, b in zip(ecef, geodetic_to_ecef(*there[:3]), strict=True))
+    return body_to_lidar(apply(transposed(attitude(*there[3:])), apply(enu_from_ecef(*there[:2]), gap)), e)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -48,3 +50,22 @@ def in_image(u: Column, v: Column, c: Camera) -> Column:
     w, h = image_size(c)
     a, b = u.cast("int"), v.cast("int")
     return (a >= 0) & (a < w) & (b >= 0) & (b < h)
+
+
+def undistorted(c: Camera, steps: int = 10):
+    """Arrow function of pixel columns (u, v) to normalised x and y: the fisheye polynomial inverted by Newton's method."""
+
+    def invert(u: pd.Series, v: pd.Series) -> pd.DataFrame:
+        a, b = (u.to_numpy(float) - c.cx) / c.fx, (v.to_numpy(float) - c.cy) / c.fy
+        bent = np.minimum(np.hypot(a, b), np.pi / 2)
+        k = np.array([1.0, *c.k])
+        powers = np.arange(5) * 2
+        t = bent.copy()
+        for _ in range(steps):
+            value = (k[:, None] * t ** (powers[:, None] + 1)).sum(0)
+            slope = (k[:, None] * (powers[:, None] + 1) * t ** powers[:, None]).sum(0)
+            t = t - (value - bent) / slope
+        scale = np.divide(np.tan(t), bent, out=np.ones_like(t), where=bent > 0)
+        return pd.DataFrame({"x": a * scale, "y": b * scale})
+
+    return F.pandas_udf(invert, "x double, y double", F.PandasUDFType.SCALAR)

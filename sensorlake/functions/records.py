@@ -64,3 +64,14 @@ def group_label(ids: Column) -> Column:
 def first_of(*choices: tuple[Column, str]) -> Column:
     """The named field of the first element of the first array that has one."""
     return reduce(lambda a, b: F.coalesce(a, b), [F.get(c, F.lit(0))[f] for c, f in choices])
+
+
+def grid_lines(low: float, high: float, step: float) -> Column:
+    """Array of the multiples of step in [low, high]."""
+    n = lambda v: F.lit(v) / step
+    return F.transform(F.sequence(F.ceil(n(low)).cast("int"), F.floor(n(high)).cast("int")), lambda i: i * step)
+
+
+def point_line(index: Column, x: Column, y: Column, z: Column) -> Column:
+    """A point of a region dump with its depth."""
+    return F.format_string("%6d %10.4f %10.4f %10.4f %10.4f", index, x, y, z, F.sqrt(x * x + y * y + z * z))

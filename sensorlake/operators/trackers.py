@@ -209,3 +209,27 @@ def weighted_pick(pairs: DataFrame, frame: str, cfg: Tracker = Tracker(), gate:
     rated = pairs.where(F.col("distance") <= gate * cfg.hard_gate).withColumn("combined", 0.55 * marker + 0.25 * motion + 0.20 * F.col("score"))
     nth = F.row_number().over(Window.partitionBy(frame).orderBy(F.desc("combined"), "candidate_id"))
     return rated.withColumn("__n", nth).where((F.col("__n") == 1) & (F.col("combined") >= cfg.min_combined)).drop("__n")
+
+
+@dataclass
+class Marker:
+    """A marker's observed positions with a bounded history and an optional constant-velocity prediction."""
+
+    size: int = 10
+    allow_prediction: bool = False
+    max_prediction_s: float = 1.0
+    history: list[tuple[float, Point]] = field(default_factory=list)
+
+    def observe(self, ts: float, pos: Point) -> State:
+        self.history = [*self.history, (ts, pos)][-self.size:]
+        return State(ts, pos)
+
+    def predict(self, ts: float) -> State | None:
+        if not self.allow_prediction or not self.history or ts - self.history[-1][0] > self.max_prediction_s:
+            return None
+        last_ts, last = self.history[-1]
+        vel = (0.0, 0.0, 0.0)
+        if len(self.history) > 1 and last_ts - self.history[-2][0] > 1e-6:
+            before_ts, before = self.history[-2]
+            vel = tuple((a - b) / (last_ts - before_ts) for a, b in zip(last, before, strict=True))
+        return State(ts, tuple(p + v * (ts - last_ts) for p, v in zip(last, vel, strict=True)), vel, "predicted")

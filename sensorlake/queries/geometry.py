@@ -137,3 +137,33 @@ def image_bounds(spark, sf_dir):
 def rodrigues(spark, sf_dir):
     m = geo.rodrigues(F.col("x"), F.col("y"), F.col("z"))
     return vec(spark, sf_dir).select("id", *rounded({"r00": m[0][0], "r01": m[0][1], "r12": m[1][2]}))
+
+
+@query()
+def between_poses(spark, sf_dir):
+    """Points carried from one pose to another and back; gap is the largest deviation by label."""
+    g = geo_points(spark, sf_dir)
+    k = F.col("id")
+    here = (F.col("lat"), F.col("lon"), F.col("h"), F.col("lat") / 40, F.col("lat") / 80, F.col("lon"))
+    there = (F.col("lat") + 1e-5, F.col("lon") - 1e-5, F.col("h") + 1, F.col("lat") / 50, F.col("lat") / 90, F.col("lon") + 5)
+    v = ((k % 7).cast("double"), (k % 5 - 2).cast("double"), (k % 3).cast("double"))
+    moved = g.select("*", *[c.alias(f"m{i}") for i, c in enumerate(geo.between_poses(v, here, there))])
+    back = geo.between_poses(tuple(F.col(f"m{i}") for i in range(3)), there, here)
+    gap = geo.norm3(*[a - b for a, b in zip(back, v, strict=True)])
+    return moved.groupBy((k % 10).alias("label")).agg(F.max(F.bround(gap, 2)).alias("gap"), F.count("*").alias("n"))
+
+
+@query(f"WITH {VEC}, {FRONT}, {FISH[len(FRONT) + 2:]} SELECT id, {r('f.a', 5)} AS x, {r('f.b', 5)} AS y FROM px JOIN f USING (id) WHERE f.a * f.a + f.b * f.b < 4")
+def fisheye_undistort(spark, sf_dir):
+    """Pixels back to normalised coordinates, where the rays are less than 63 degrees off the axis."""
+    x, y, z = F.col("x"), F.col("y"), F.col("z") + 3
+    v = vec(spark, sf_dir).where((z > 0) & ((x / z) * (x / z) + (y / z) * (y / z) < 4))
+    u, w = projection.fisheye(x, y, z, CAM)
+    ray = projection.undistorted(CAM)(u, w)
+    return v.select("id", ray.alias("ray")).select("id", *rounded({"x": F.col("ray.x"), "y": F.col("ray.y")}, 5))
+
+
+@query(f"WITH {VEC} SELECT id, " + ", ".join(f"{r(' + '.join(f'({CAM.r_lidar_camera[j][i]!r}) * ({axis} - ({CAM.t_lidar_camera[j]!r}))' for j, axis in enumerate('xyz')))} AS c{i}" for i in range(3)) + " FROM vec")
+def lidar_to_camera(spark, sf_dir):
+    c = projection.lidar_to_camera((F.col("x"), F.col("y"), F.col("z")), CAM)
+    return vec(spark, sf_dir).select("id", *rounded({f"c{i}": v for i, v in enumerate(c)}))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sensorlake.config import Clustering, EgoBox, Ground, LocalRoi, Motion, Person, Roi, Tracker
 from sensorlake.functions.geo import norm2
 from sensorlake.functions.records import canvas, candidate_key, height_colour, rounded
-from sensorlake.operators import cluster, filters, ground, spatial, trackers
+from sensorlake.operators import cluster, filters, ground, segments, spatial, trackers
 from sensorlake.queries.base import PTS, VEC, pts, query, r, vec
 
 KEEP = ["frame", "point_index", "x", "y", "z"]
@@ -311,3 +311,33 @@ def candidate_keys(spark, sf_dir):
     v = vec(spark, sf_dir)
     return v.select("id", candidate_key(tuple(F.col(c) for c in "xyz"), (F.abs("x"), F.abs("y"), F.abs("z"))).alias("key"))
 
+
+
+#: Line items as masks of ten queries on 5,000 pixels, orders as class scores.
+MASKS = ("classes AS (SELECT o_custkey % 7 AS image, o_orderkey % 10 AS query, o_orderkey % 4 AS class_id, max(o_totalprice) / 600000 AS p FROM orders GROUP BY 1, 2, 3), "
+         "masks AS (SELECT l_suppkey % 7 AS image, l_partkey % 10 AS query, l_orderkey % 5000 AS pixel, max(l_quantity) / 50 AS m FROM lineitem GROUP BY 1, 2, 3)")
+
+
+def _masks(spark, sf_dir):
+    o, i = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "lineitem"))
+    classes = o.groupBy((F.col("o_custkey") % 7).alias("image"), (F.col("o_orderkey") % 10).alias("query"), (F.col("o_orderkey") % 4).alias("class_id")).agg((F.max("o_totalprice") / 600000).alias("p"))
+    masks = i.groupBy((F.col("l_suppkey") % 7).alias("image"), (F.col("l_partkey") % 10).alias("query"), (F.col("l_orderkey") % 5000).alias("pixel")).agg((F.max("l_quantity") / 50).alias("m"))
+    return classes, masks
+
+
+@query(f"WITH {MASKS}, v AS (SELECT image, pixel, class_id, sum(p * m) AS s FROM masks JOIN classes USING (image, query) GROUP BY ALL) SELECT image, pixel, {r('max(s)', 4)} AS score FROM v GROUP BY image, pixel")
+def semantic_segments(spark, sf_dir):
+    return segments.semantic(*_masks(spark, sf_dir), "image").select("image", "pixel", *rounded({"score": F.col("score")}, 4))
+
+
+@query()
+def panoptic_segments(spark, sf_dir):
+    return segments.panoptic(*_masks(spark, sf_dir), "image", 0.5, 0.1, (0, 1))
+
+
+# E-4: the k best are the feature.
+@query(f"WITH {MASKS}, q AS (SELECT image, query, sum(CASE WHEN m > 0.5 THEN m END) / (count(*) FILTER (WHERE m > 0.5) + 1e-6) AS q FROM masks GROUP BY ALL), "
+       "t AS (SELECT *, row_number() OVER (PARTITION BY image ORDER BY p DESC, query, class_id) AS n FROM classes) "
+       f"SELECT image, query, class_id, {r('p * coalesce(q, 0)', 4)} AS score FROM t JOIN q USING (image, query) WHERE n <= 12")
+def instance_segments(spark, sf_dir):
+    return segments.instances(*_masks(spark, sf_dir), "image", 12).select("image", "query", "class_id", *rounded({"score": F.col("score")}, 4))

@@ -166,3 +166,25 @@ def test_sampling_and_clips(spark):
     assert trajectory.downsample(t, "k", ["ts"], 5).count() == 6
     with pytest.raises(ValueError):
         filters.region_of_interest(d, "star")
+
+
+def test_marker_history_and_prediction():
+    m = trackers.Marker(size=2, allow_prediction=True)
+    assert m.predict(0.0) is None
+    for ts, x in ((0., 0.), (1., 1.), (2., 3.)):
+        m.observe(ts, (x, 0., 0.))
+    assert len(m.history) == 2 and m.predict(2.5).pos[0] == 4.0 and m.predict(3.5) is None
+    assert trackers.Marker().predict(0.0) is None
+
+
+def test_segments(spark):
+    from sensorlake.operators import segments
+
+    classes = frame(spark, [(0, 0, 1, .9), (0, 1, 2, .95), (0, 2, 1, .9)], "image int, query int, class_id int, p double")
+    masks = frame(spark, [(0, q, px, m) for q, px, m in ((0, 0, .9), (0, 1, .1), (1, 1, .9), (1, 0, .2), (2, 2, .8))], "image int, query int, pixel int, m double")
+    assert {r.pixel: r.class_id for r in segments.semantic(classes, masks, "image").collect()} == {0: 1, 1: 2, 2: 1}
+    stuff = {r.pixel: r.segment for r in segments.panoptic(classes, masks, "image").collect()}
+    assert stuff[0] == stuff[2] != stuff[1]
+    things = {r.pixel: r.segment for r in segments.panoptic(classes, masks, "image", things=(1, 2)).collect()}
+    assert len(set(things.values())) == 3
+    assert [r.query for r in segments.instances(classes, masks, "image", 1).collect()] == [1]

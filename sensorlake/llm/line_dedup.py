@@ -22,10 +22,10 @@ extra columns are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sensorlake.scratch import stored
+from sensorlake.scratch import forget, release, stored
 
 MIN_CHARS = 20
 #: (doc_id, place) pairs that may be broadcast (32 MB); beyond, the join is shuffled.
@@ -38,64 +38,77 @@ def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
     return lines.withColumn("len", F.char_length("line")).where(F.col("len") >= min_chars)
 
 
-def contexts(q: int, line: str = "line", length: str = "len") -> Column:
-    """Array of (c, j, key): the hashed context of segment j for the shorter length c, which is the line's
-    own length or one less."""
-    parts = [
-        f"named_struct('c', {c}, 'j', {j}, 'key', xxhash64(left({line}, cast({c} * {j} / {q} as int)), "
-        f"right({line}, {c} - cast({c} * {j + 1} / {q} as int)), {c}, {j}))"
-        for c in (length, f"({length} - 1)") for j in range(q)
+def context_keys(q: int) -> list[str]:
+    """SQL of the hashed context of each segment, for the line's own length and for one less as shorter length."""
+    return [
+        f"xxhash64(left(line, cast({c} * {j} / {q} as int)), right(line, {c} - cast({c} * {j + 1} / {q} as int)), {c}, {j})"
+        for c in ("len", "(len - 1)") for j in range(q)
     ]
-    return F.expr(f"array({', '.join(parts)})")
 
 
 def shared(entries: DataFrame) -> DataFrame:
-    """Entries (c, j, key, ...) whose key occurs more than once."""
-    often = entries.groupBy("key", "c", "j").count().where("count > 1").drop("count")
-    return entries.join(often, ["key", "c", "j"], "left_semi")
+    """Entries whose key occurs more than once (c and j are part of the hashed key)."""
+    often = entries.groupBy("key").agg(F.count("*").alias("m")).where("m > 1").select("key")
+    return entries.join(often, "key", "left_semi")
 
 
 def witnesses(lines: DataFrame) -> DataFrame:
-    """(at, line, by): an earliest neighbour for lines(at, line, len) that have an earlier one."""
-    fine = shared(lines.withColumn("x", F.explode(contexts(FINE))).select("at", "line", "len", "x.c", "x.j", "x.key"))
+    """(doc_id, place, by): the earliest neighbours of lines(doc_id, place, line, len) that have an earlier one."""
+    found = [f"named_struct('c', {c}, 'j', {j}, 'key', {k})" for (c, j), k in zip(
+        [(c, j) for c in ("len", "len - 1") for j in range(FINE)], context_keys(FINE), strict=True)]
+    entries = lines.select("doc_id", "place", F.explode(F.expr(f"array({', '.join(found)})")).alias("x")).select("doc_id", "place", "x.c", "x.j", "x.key")
+    fine = shared(entries).join(lines, ["doc_id", "place"])
     begin, end = f"cast(c * j / {FINE} as int)", f"cast(c * (j + 1) / {FINE} as int)"
     segment = F.expr(f"substring(line, {begin} + 1, len - (c - {end}) - {begin})")
-    fine = fine.withColumn("segment", segment).withColumn("n", F.char_length("segment"))
+    at = F.struct("doc_id", "place").alias("at")
+    fine = stored(fine.select(at, "len", "c", "key", segment.alias("segment")), "segments").withColumn("n", F.char_length("segment"))
     without = "transform(sequence(1, n), p -> named_struct('p', p, 'v', concat(left(segment, p - 1), substring(segment, p + 1))))"
-    whole = fine.where("len = c").select("at", "line", F.expr("xxhash64(key, 'shorter', segment)").alias("v"), F.lit(0).alias("longer"))
-    cut = fine.where("n > 0").select("at", "line", "len", "c", "key", F.explode(F.expr(without)).alias("d"))
-    longer = cut.where("len = c + 1").select("at", "line", F.expr("xxhash64(key, 'shorter', d.v)").alias("v"), F.lit(1).alias("longer"))
-    equal = cut.where("len = c").select("at", "line", F.expr("xxhash64(key, d.p, d.v)").alias("v"))
+    whole = fine.where("len = c").select("at", F.expr("xxhash64(key, 'shorter', segment)").alias("v"), F.lit(0).alias("longer"))
+    cut = fine.where("n > 0").select("at", "len", "c", "key", F.explode(F.expr(without)).alias("d"))
+    longer = cut.where("len = c + 1").select("at", F.expr("xxhash64(key, 'shorter', d.v)").alias("v"), F.lit(1).alias("longer"))
+    equal = cut.where("len = c").select("at", F.expr("xxhash64(key, d.p, d.v)").alias("v"))
 
     near = whole.unionByName(longer)
-    firsts = near.groupBy("v").agg(F.min(F.when(F.col("longer") == 0, F.struct("at", "line"))).alias("w0"),
-                                   F.min(F.when(F.col("longer") == 1, F.struct("at", "line"))).alias("w1")).where("w0 IS NOT NULL AND w1 IS NOT NULL")
-    near = near.join(firsts, "v").select("at", "line", F.when(F.col("longer") == 1, F.col("w0")).otherwise(F.col("w1")).alias("by"))
-    same = equal.groupBy("v").agg(F.min(F.struct("at", "line")).alias("by"), F.count("*").alias("m")).where("m > 1").drop("m")
-    same = equal.join(same, "v").select("at", "line", "by")
-    return near.unionByName(same).where("by.at < at").where(
-        F.levenshtein(F.col("line"), F.col("by.line"), 1).between(0, 1)).select("at").distinct()
+    firsts = near.groupBy("v").agg(F.min(F.when(F.col("longer") == 0, F.col("at"))).alias("w0"),
+                                   F.min(F.when(F.col("longer") == 1, F.col("at"))).alias("w1")).where("w0 IS NOT NULL AND w1 IS NOT NULL")
+    near = near.join(firsts, "v").select("at", F.when(F.col("longer") == 1, F.col("w0")).otherwise(F.col("w1")).alias("by"))
+    same = equal.groupBy("v").agg(F.min("at").alias("by"), F.count("*").alias("m")).where("m > 1").drop("m")
+    same = equal.join(same, "v").select("at", "by")
+    return near.unionByName(same).where("by < at").distinct().select("at.doc_id", "at.place", "by")
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, place) of the lines that go."""
-    lines = lines_of(docs, min_chars)
-    at = F.struct("doc_id", "place").alias("at")
-    hashed = stored(lines.select(at, "len", F.xxhash64("line").alias("h"), F.hash("line").alias("g"), contexts(COARSE).alias("x")), "lines")
-    firsts = stored(hashed.groupBy("h", "g", "len").agg(F.min(F.struct("at", "x")).alias("m"), F.count("*").alias("n")), "first-lines")
-    often = firsts.where("n > 1").select("h", "g", "len", F.col("m.at").alias("first"))
-    equal = hashed.join(often, ["h", "g", "len"]).where("at <> first").select("at.doc_id", "at.place")
+def verified(found: DataFrame, lines: DataFrame) -> DataFrame:
+    """(doc_id, place) of found whose witness is at most one edit away."""
+    text = lines.select(F.col("doc_id").alias("d"), F.col("place").alias("p"), F.col("line").alias("witness"))
+    both = found.join(lines, ["doc_id", "place"]).join(text, (F.col("by.doc_id") == F.col("d")) & (F.col("by.place") == F.col("p")))
+    return both.where(F.levenshtein("line", "witness", 1).between(0, 1)).select("doc_id", "place").distinct()
 
-    coarse = shared(firsts.select("m.at", F.explode("m.x").alias("x")).select("at", "x.c", "x.j", "x.key"))
-    wanted = stored(coarse.select("at.doc_id", "at.place").distinct(), "wanted-lines")
+
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, list[DataFrame]]:
+    """(doc_id, place) of the lines that go, and the stored tables that it reads."""
+    lines = lines_of(docs, min_chars)
+    keys = [f"k{i}" for i in range(2 * COARSE)]
+    hashed = stored(lines.select("doc_id", "place", "len", F.xxhash64("line").alias("h"), F.hash("line").alias("g"),
+                                 *[F.expr(k).alias(n) for n, k in zip(keys, context_keys(COARSE), strict=True)]), "lines")
+    firsts = stored(hashed.groupBy("h", "g", "len").agg(F.min(F.struct("doc_id", "place", *keys)).alias("m"), F.count("*").alias("n")), "first-lines")
+    often = firsts.where("n > 1").select("h", "g", "len", F.col("m.doc_id").alias("d"), F.col("m.place").alias("p"))
+    equal = hashed.select("doc_id", "place", "h", "g", "len").join(often, ["h", "g", "len"]).where("doc_id <> d OR place <> p").select("doc_id", "place")
+
+    coarse = firsts.select("m.doc_id", "m.place", F.explode(F.array(*[f"m.{k}" for k in keys])).alias("key"))
+    wanted = stored(shared(coarse).select("doc_id", "place").distinct(), "wanted-lines")
+    release()
     texts = lines.join(F.broadcast(wanted) if wanted.count() <= SMALL_IDS else wanted, ["doc_id", "place"], "left_semi")
-    near = witnesses(stored(texts.select(at, "line", "len"), "line-texts"))
-    return equal.unionByName(near.select("at.doc_id", "at.place"))
+    texts = stored(texts.select("doc_id", "place", "line", "len"), "line-texts")
+    near = stored(verified(witnesses(texts), texts), "near-lines")
+    release()
+    return equal.unionByName(near), [hashed, firsts, wanted, texts, near]
 
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with text without the lines that go, and two more columns: n_lines and n_removed."""
-    gone = stored(repeated_lines(docs, min_chars).groupBy("doc_id").agg(F.collect_set("place").alias("__gone")), "gone")
+    lines, sources = repeated_lines(docs, min_chars)
+    gone = stored(lines.groupBy("doc_id").agg(F.collect_set("place").alias("__gone")), "gone")
+    forget(*sources)
     joined = docs.join(gone, "doc_id", "left")
     kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(__gone, i)), '\\n')")
     return joined.select(

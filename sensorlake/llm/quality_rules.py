@@ -24,7 +24,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from sensorlake.llm.samples import bounded_sample
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LETTERS = re.compile(r"[^\W\d_]")
@@ -197,8 +198,7 @@ def judge(docs: DataFrame, field: ChainField, id_col: str = "doc_id", text_col:
 def fit_field(docs: DataFrame, labels: DataFrame, per_label: int = MAX_PER_LABEL) -> ChainField:
     """Fits the field on at most per_label labelled documents of each quality, chosen by a hash of their id."""
     marked = labels.where("quality IN (0, 1) AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    nth = F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = marked.withColumn("nth", nth).where(F.col("nth") <= per_label).drop("nth")  # 2 * per_label rows
+    chosen = bounded_sample(marked, "quality", "doc_id", per_label, 2)  # 2 * per_label rows
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

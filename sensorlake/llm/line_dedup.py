@@ -109,7 +109,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     lines, sources = repeated_lines(docs, min_chars)
     gone = stored(lines.groupBy("doc_id").agg(F.collect_set("place").alias("__gone")), "gone")
     forget(*sources)
-    joined = docs.join(gone, "doc_id", "left")
+    # One plan at every size: texts are dealt by doc_id, the few removed places are the hashed side.
+    joined = docs.join(gone.hint("shuffle_hash"), "doc_id", "left")
     kept = F.expr("array_join(filter(split(text, '\\n'), (x, i) -> NOT array_contains(__gone, i)), '\\n')")
     return joined.select(
         *[F.when(F.col("__gone").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns],

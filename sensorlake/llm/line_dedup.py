@@ -2,7 +2,9 @@
 
 A line goes if an earlier line (smaller (doc_id, place in the document)) differs from it by at most one
 edit: one code point inserted, deleted or replaced.  Lines are judged on the input, so a line that goes
-still counts as an earlier one.  Lines of fewer than `min_chars` code points always stay.
+still counts as an earlier one.  Lines of fewer than `min_chars` code points are compared with nothing but
+equal lines, and only if they have `exact_chars` or more and a word (a letter or digit); op8_line_dedup and
+the pipeline set `exact_chars` to 1.  Other short lines always stay (with `exact_chars` None, all of them).
 
 1. *Equal lines* meet on their hashes; the first of each stands for all.
 2. *Contexts.*  For a shorter length c a line is cut into q segments; if one edit leads to another line,
@@ -28,14 +30,17 @@ from pyspark.sql import functions as F
 from sensorlake.scratch import forget, release, stored
 
 MIN_CHARS = 20
+WORD = r"[\p{L}\p{N}]"
 #: (doc_id, place) pairs that may be broadcast (32 MB); beyond, the join is shuffled.
 SMALL_IDS = 1_000_000
 COARSE, FINE = 2, 8
 
 
-def lines_of(docs: DataFrame, min_chars: int) -> DataFrame:
+def lines_of(docs: DataFrame, min_chars: int, exact_chars: int | None = None) -> DataFrame:
     lines = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select("doc_id", F.posexplode(F.split("text", "\n")).alias("place", "line"))
-    return lines.withColumn("len", F.char_length("line")).where(F.col("len") >= min_chars)
+    long = F.col("len") >= min_chars
+    short = F.lit(False) if exact_chars is None else (F.col("len") >= exact_chars) & F.col("line").rlike(WORD)
+    return lines.withColumn("len", F.char_length("line")).where(long | short)
 
 
 def context_keys(q: int) -> list[str]:
@@ -84,29 +89,29 @@ def verified(found: DataFrame, lines: DataFrame) -> DataFrame:
     return both.where(F.levenshtein("line", "witness", 1).between(0, 1)).select("doc_id", "place").distinct()
 
 
-def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> tuple[DataFrame, list[DataFrame]]:
+def repeated_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> tuple[DataFrame, list[DataFrame]]:
     """(doc_id, place) of the lines that go, and the stored tables that it reads."""
-    lines = lines_of(docs, min_chars)
+    lines = lines_of(docs, min_chars, exact_chars)
     keys = [f"k{i}" for i in range(2 * COARSE)]
     hashed = stored(lines.select("doc_id", "place", "len", F.xxhash64("line").alias("h"), F.hash("line").alias("g"),
-                                 *[F.expr(k).alias(n) for n, k in zip(keys, context_keys(COARSE), strict=True)]), "lines")
+                                 *[F.expr(f"if(len >= {min_chars}, {k}, NULL)").alias(n) for n, k in zip(keys, context_keys(COARSE), strict=True)]), "lines")
     firsts = stored(hashed.groupBy("h", "g", "len").agg(F.min(F.struct("doc_id", "place", *keys)).alias("m"), F.count("*").alias("n")), "first-lines")
     often = firsts.where("n > 1").select("h", "g", "len", F.col("m.doc_id").alias("d"), F.col("m.place").alias("p"))
     equal = hashed.select("doc_id", "place", "h", "g", "len").join(often, ["h", "g", "len"]).where("doc_id <> d OR place <> p").select("doc_id", "place")
 
-    coarse = firsts.select("m.doc_id", "m.place", F.explode(F.array(*[f"m.{k}" for k in keys])).alias("key"))
+    coarse = firsts.where(F.col("len") >= min_chars).select("m.doc_id", "m.place", F.explode(F.array(*[f"m.{k}" for k in keys])).alias("key"))
     wanted = stored(shared(coarse).select("doc_id", "place").distinct(), "wanted-lines")
     release()
-    texts = lines.join(F.broadcast(wanted) if wanted.count() <= SMALL_IDS else wanted, ["doc_id", "place"], "left_semi")
+    texts = lines_of(docs, min_chars).join(F.broadcast(wanted) if wanted.count() <= SMALL_IDS else wanted, ["doc_id", "place"], "left_semi")
     texts = stored(texts.select("doc_id", "place", "line", "len"), "line-texts")
     near = stored(verified(witnesses(texts), texts), "near-lines")
     release()
     return equal.unionByName(near), [hashed, firsts, wanted, texts, near]
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """docs with text without the lines that go, and two more columns: n_lines and n_removed."""
-    lines, sources = repeated_lines(docs, min_chars)
+    lines, sources = repeated_lines(docs, min_chars, exact_chars)
     gone = stored(lines.groupBy("doc_id").agg(F.collect_set("place").alias("__gone")), "gone")
     forget(*sources)
     # One plan at every size: texts are dealt by doc_id, the few removed places are the hashed side.

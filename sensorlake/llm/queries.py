@@ -155,7 +155,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return line_dedup.dedup_lines(docs).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.dedup_lines(docs, exact_chars=1).select("doc_id", "n_lines", "n_removed", "text")
 
 
 ORACLES["op8_line_dedup"] = r"""

@@ -50,3 +50,17 @@ def test_empty_null_id_and_extra_columns(spark, documents):
     df = documents([(1, line, "a"), (2, f"{line}\nshort", "b"), (None, line, "c")], ", place string")
     got = sorted((r.doc_id or 0, r.text, r.place, r.n_removed) for r in dedup_lines(df).collect())
     assert got == [(0, line, "c", 0), (1, line, "a", 0), (2, "short", "b", 1)]
+
+
+def test_short_repeats_in_query_and_pipeline(spark, documents, tmp_path):
+    from corpus_pipeline import lines
+    from sensorlake.llm.queries import QUERIES
+
+    rows = [(1, "Home\nShare this\n---\n\nné"), (2, "Share this\nShare thin\n---\n\nHome\nHome"), (3, "7\nné\n7\nhome")]
+    docs = documents(rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {1: rows[0][1], 2: "Share thin\n---\n", 3: "7\nhome"}
+    got = QUERIES["op8_line_dedup"](spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in got} == want and {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 3, 3: 2}
+    staged = lines(spark, docs.selectExpr("*", "cast(char_length(text) as long) AS n_chars"), str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in staged} == want and all(r.n_chars == len(r.text) for r in staged)

@@ -8,9 +8,14 @@ differs from page to page near 1.  Extraction leaves out
 
 * elements that are never main text (scripts, styles, forms, embedded objects, hidden elements);
 * branches whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert or comments;
-* outside ``article`` and ``main``, branches of importance below `MIN_IMPORTANCE` on at least `MIN_PAGES` pages;
+* branches of importance below `MIN_IMPORTANCE` on at least `MIN_PAGES` pages, inside ``article`` and ``main`` too;
 
-and, on pages with an ``article`` or ``main``, everything outside of it.
+and, on pages with an ``article`` or ``main``, everything outside of it.  If all of an article is low, the host
+serves the same article on most of its pages, which is no box, and it stays.
+
+`MIN_PAGES` follows from a confidence: below that importance a path on so few pages holds one text on all of them.  If
+main texts of two pages agree in a path with probability `COINCIDENCE`, m pages do with ``COINCIDENCE^(m - 1)``, and
+a path is judged from the m on where that is at most ``1 - CONFIDENCE``.
 
 Statistics are counts by (host, path, hash), so a host with a third of all pages is pre-aggregated; pages
 are joined with their low branches by page, not by host.
@@ -24,6 +29,7 @@ from __future__ import annotations
 
 import hashlib
 import html as entities
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -35,7 +41,8 @@ from pyspark.sql import functions as F
 from sensorlake.llm.url_filter import split_url
 from sensorlake.scratch import stored
 
-MIN_IMPORTANCE, MIN_PAGES = 0.3, 5
+MIN_IMPORTANCE, COINCIDENCE, CONFIDENCE = 0.3, 0.2, 0.95
+MIN_PAGES = 1 + math.ceil(math.log(1 - CONFIDENCE) / math.log(COINCIDENCE))
 
 _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:"[^"]*"|'[^']*'|[^>"']++)*+)(?:>|\Z)"""
@@ -199,10 +206,9 @@ def style_tree(found: DataFrame) -> DataFrame:
 
 def main_text(page: str, low: frozenset[int]) -> str:
     every = [(text, node) for text, node, _ in blocks(page) if not node.noise]
-    chosen = [text for text, node in every if node.main]
-    if not chosen:
-        chosen = [text for text, node in every if digest(node.path) not in low] if low else [text for text, _ in every]
-    return "\n\n".join(chosen)
+    inside = [(text, node) for text, node in every if node.main]
+    chosen = [text for text, node in inside or every if not low or digest(node.path) not in low]
+    return "\n\n".join(chosen or [text for text, _ in inside])
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",

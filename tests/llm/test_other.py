@@ -76,6 +76,18 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert got[3] == "Own words 3 of page" and got[20] == "" and got[21].startswith("Same words")
 
 
+def test_style_tree_inside_articles_and_on_small_hosts(spark):
+    box = "<div class=callout><p>Join our circle of readers</p></div>"
+    page = lambda i: f"<body><article><h1>Title {i}</h1><p>Own words {i}</p>{box}<p>More of {i}</p></article></body>"
+    copy = lambda i: f"<body><div class=top>Page {i}</div><article><p>One article at many addresses</p></article></body>"
+    rows = [(i, "http://large.org/a", page(i)) for i in range(8)] + [(i, "http://small.org/a", page(i)) for i in range(10, 13)]
+    rows += [(i, "http://two.org/a", page(i)) for i in (20, 21)] + [(i, "http://copies.org/a", copy(i)) for i in range(30, 36)]
+    got = {r.page_id: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Title {i}\n\nOwn words {i}\n\nMore of {i}" for i in [*range(8), 10, 11, 12])
+    assert all("Join our circle" in got[i] for i in (20, 21))
+    assert all(got[i] == "One article at many addresses" for i in range(30, 36))
+
+
 def test_languages(spark, documents):
     rng = random.Random(3)
     vocab = {"en": "the of and that with river water house".split(), "de": "der und die nicht mit fluss wasser haus".split(),

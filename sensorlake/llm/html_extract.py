@@ -7,7 +7,8 @@ importance ``0.1 H_presentation / ln m + 0.9 H_content / ln m``: what a site rep
 differs from page to page near 1.  Extraction leaves out
 
 * elements that are never main text (scripts, styles, forms, embedded objects, hidden elements);
-* branches whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert or comments;
+* branches whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert or comments,
+  but for layout wrappers (see `wrappers`), which are judged by their importance like other branches;
 * branches of importance below `MIN_IMPORTANCE` on at least `MIN_PAGES` pages, inside ``article`` and ``main`` too;
 
 and, on pages with an ``article`` or ``main``, everything outside of it.  If all of an article is low, the host
@@ -65,6 +66,8 @@ NOISE = frozenset(
     "notification notifications pager pagination popup promo promoted promotion related replies reply search share sharing sidebar "
     "sidebars signup social sponsor sponsored subscribe subscription toolbar topbar tracking widget widgets alert complementary "
     "contentinfo responses".split())
+#: Those of them that name lists of other people's or other pages' texts, often marked up as articles.
+LISTS = frozenset("comment comments commentlist disqus related replies reply responses".split())
 
 
 @dataclass
@@ -75,22 +78,77 @@ class Node:
     noise: bool
     children: list[str]
     depth: int
+    spared: tuple[int, ...] = ()
+    named: Named | None = None
+    dropped: bool = False
+
+
+@dataclass
+class Named:
+    """An element outside of article and main that its name removes; start and end are places in the page."""
+    start: int
+    end: int
+    lists: bool
+    article: bool = False
+    main: bool = False
 
 
 def attributes(rest: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(rest)} if rest.strip(" /\n\t") else {}
 
 
-def names_noise(found: dict[str, str], inside: bool) -> bool:
+def hidden(found: dict[str, str]) -> bool:
+    return "hidden" in found or found.get("aria-hidden") == "true" or bool(re.search(r"display\s*:\s*none", found.get("style", "")))
+
+
+def noise_words(found: dict[str, str], inside: bool) -> frozenset[str]:
     """inside: within the main text a header holds the title, so its name does not count."""
-    if "hidden" in found or found.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none", found.get("style", "")):
-        return True
     words = re.split(r"[^a-z]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", f"{found.get('class', '')} {found.get('id', '')} {found.get('role', '')}").lower())
-    return not (NOISE - {"header"} if inside else NOISE).isdisjoint(words)
+    return (NOISE - {"header"} if inside else NOISE).intersection(words)
 
 
-def blocks(page: str) -> Iterator[tuple[str, Node, tuple[str, ...]]]:
+def blocks(page: str) -> list[tuple[str, Node, tuple[str, ...]]]:
     """(text, its node, the tags that its node has had so far) of every block of text, in page order."""
+    named: list[Named] = []
+    found = list(_blocks(page, frozenset(), named))
+    spared = wrappers(page, found, named)
+    return list(_blocks(page, spared, [])) if spared else found
+
+
+def wrappers(page: str, found: list[tuple[str, Node, tuple[str, ...]]], named: list[Named]) -> frozenset[int]:
+    """Starts of the elements that a name must not remove.
+
+    Those that hold a main, those that hold an article where none lies outside of such elements, and those
+    that hold most of the text.  Lists (of comments, related pages) are only kept for a main, or if no text
+    is left without them.
+    """
+    spared: frozenset[int] = frozenset()
+    while True:
+        kept = [(len(text), node) for text, node, _ in found if not node.noise]
+        free, article = sum(n for n, _ in kept), any(node.main for _, node in kept)
+        # Text is no longer than its source, so most small elements need no second look.
+        tried = [e for e in named if e.main or (e.article and not article) or e.end - e.start > free]
+        if not tried:
+            return spared
+        # All but the lists counts, so nested names do not hide what an element holds; they are judged in the next round.
+        size, total = {e.start: 0 for e in tried}, 0
+        for text, node, _ in _blocks(page, spared, [], all_but_lists=True):
+            if not node.noise:
+                total += len(text)
+                for start in size.keys() & set(node.spared):
+                    size[start] += len(text)
+        new = {e.start for e in tried if e.main or (not e.lists and (e.article and not article or size[e.start] * 2 > total))}
+        if not new and not free:
+            new = {e.start for e in tried if not e.lists} or {e.start for e in tried}
+        if not new:
+            return spared
+        spared |= new
+        named = []
+        found = list(_blocks(page, spared, named))
+
+
+def _blocks(page: str, spared: frozenset[int], named: list[Named], all_but_lists: bool = False) -> Iterator[tuple[str, Node, tuple[str, ...]]]:
+    """The same without the named elements that do not start at one of spared; they are added to named."""
     stack = [Node("", "", False, False, [], 0)]
     text: list[str] = []
     owner = stack[0]
@@ -126,12 +184,12 @@ def blocks(page: str) -> Iterator[tuple[str, Node, tuple[str, ...]]]:
         if closing:
             depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if depth:
-                del stack[depth:]
+                _cut(stack, depth, at)
             continue
         if tag in BLOCK:
-            _close(stack, frozenset("p"), MAIN | {"div", "section", "body", "li", "td"})
+            _close(stack, frozenset("p"), MAIN | {"div", "section", "body", "li", "td"}, m.start())
         if tag in for_closing:
-            _close(stack, *for_closing[tag])
+            _close(stack, *for_closing[tag], m.start())
         rest = m["rest"] if m["name"] else m["rest2"]
         top = stack[-1]
         top.children.append(tag)
@@ -147,18 +205,37 @@ def blocks(page: str) -> Iterator[tuple[str, Node, tuple[str, ...]]]:
         name = tag + "".join("." + c for c in sorted(re.sub(r"\d+", "", found.get("class", "")).split())) + (
             "#" + re.sub(r"\d+", "", found["id"]) if found.get("id") else "")
         inside = top.main or tag in MAIN or found.get("role") in MAIN
-        noise = top.noise or tag in DROPPED or (tag == "header" and not top.main) or (
-            tag not in ("html", "body") and (tag not in MAIN or top.main) and names_noise(found, top.main))
-        stack.append(Node(tag, f"{top.path}>{name}" if tag in BLOCK else top.path, inside, noise, [], top.depth + 1))
+        words = frozenset() if tag in ("html", "body") or (tag in MAIN and not top.main) else noise_words(found, top.main)
+        hard = tag in DROPPED or (tag == "header" and not top.main) or (tag not in ("html", "body") and (tag not in MAIN or top.main) and hidden(found))
+        element, keeps = top.named, top.spared
+        if words and not hard and not top.noise and not top.main and tag in BLOCK:
+            if m.start() in spared or (all_but_lists and LISTS.isdisjoint(words)):
+                words, keeps = frozenset(), (*keeps, m.start())
+            else:
+                element = Named(m.start(), length, not LISTS.isdisjoint(words))
+                named.append(element)
+        dropped = hard or top.dropped
+        if inside and not top.main and element is not None and not dropped:
+            element.main |= tag == "main" or found.get("role") == "main"
+            element.article |= tag == "article" or found.get("role") == "article"
+        noise = top.noise or hard or bool(words)
+        stack.append(Node(tag, f"{top.path}>{name}" if tag in BLOCK else top.path, inside, noise, [], top.depth + 1, keeps, element, dropped))
     if text and (found := flush()):
         yield found, owner, tuple(owner.children)
 
 
-def _close(stack: list[Node], tags: frozenset, limits: frozenset) -> None:
+def _cut(stack: list[Node], depth: int, at: int) -> None:
+    """Closes the elements from depth on at this place of the page."""
+    if stack[-1].named is not None and stack[-1].named is not stack[depth - 1].named:
+        stack[-1].named.end = at
+    del stack[depth:]
+
+
+def _close(stack: list[Node], tags: frozenset, limits: frozenset, at: int) -> None:
     """Closes the innermost open element among tags, unless one of limits is further in."""
     for i in range(len(stack) - 1, 0, -1):
         if stack[i].tag in tags:
-            del stack[i:]
+            _cut(stack, i, at)
             return
         if stack[i].tag in limits:
             return

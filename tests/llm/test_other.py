@@ -76,6 +76,21 @@ def test_style_tree_removes_what_a_site_repeats(spark):
     assert got[3] == "Own words 3 of page" and got[20] == "" and got[21].startswith("Same words")
 
 
+def test_names_do_not_remove_layout_wrappers():
+    text = lambda page: html_extract.main_text(page, frozenset())
+    side = "<div class=sidebar><p>side</p></div>"
+    for wrapper in ("<div class='content has-sidebar'>", "<div id='page-with-navigation'>", "<div class='search-layout'>", "<div class=widget-page><section class=share-on>"):
+        assert text(f"<body>{wrapper}<article><p>own text</p></article>{side}</div></body>") == "own text"
+        assert text(f"<body>{wrapper}<main><p>own text</p></main>{side}</div><article>x</article></body>").startswith("own text")
+        assert text(f"<body><p>top</p>{wrapper}<p>own text without an article</p>{side}</div></body>") == "top\n\nown text without an article"
+    assert text("<div class=related-layout><main>own text</main></div>") == "own text"
+    # What the names are for still goes, articles or not.
+    comments = "<div class=comments><article><p>much longer than the text itself</p></article></div>"
+    assert text(f"<body><p>own text</p>{side}{comments}</body>") == "own text"
+    assert text(f"<body><article>own text</article>{side}{comments}<div class=sidebar><article>tease</article></div></body>") == "own text"
+    assert text("<div class=sidebar hidden><main>x</main></div><p>own</p>") == "own"
+
+
 def test_style_tree_inside_articles_and_on_small_hosts(spark):
     box = "<div class=callout><p>Join our circle of readers</p></div>"
     page = lambda i: f"<body><article><h1>Title {i}</h1><p>Own words {i}</p>{box}<p>More of {i}</p></article></body>"

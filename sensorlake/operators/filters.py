@@ -43,16 +43,26 @@ def z_gate(points: DataFrame, low: float = float("-inf"), high: float = float("i
     return points.where(F.col("z").between(low, high))
 
 
-def protected(points: DataFrame, regions: DataFrame) -> DataFrame:
+def protected(points: DataFrame, regions: DataFrame, size: float = 1.0) -> DataFrame:
     """Points inside any of the cylinders regions(x, y, z?, radius_m, z_margin_m).
 
-    regions is a handful of tracks and markers per frame; Spark broadcasts it when it is below the
-    session's threshold and otherwise runs the theta join without.
+    An equi-join on grid cells: every cylinder is listed in all cells that its square covers (a little more, so
+    that rounding loses none), every point looks into its own, so no point is returned twice.
     """
-    r = regions.select(*[F.col(c).alias(f"r_{c}") for c in ("x", "y", "z", "radius_m", "z_margin_m")])
-    dx, dy, radius = F.col("x") - F.col("r_x"), F.col("y") - F.col("r_y"), F.greatest(F.col("r_radius_m"), F.lit(1e-3))
+    r = regions.select(*[F.col(c).alias(f"r_{c}") for c in ("x", "y", "z", "radius_m", "z_margin_m")]).distinct()
+    radius = F.greatest(F.col("r_radius_m"), F.lit(1e-3))
+    for axis in ("x", "y"):
+        centre = F.col(f"r_{axis}")
+        reach = radius * (1 + 1e-6) + F.abs(centre) * 1e-12
+        r = r.withColumn(f"r_g{axis}", F.explode(F.sequence(_cell(centre - reach, size), _cell(centre + reach, size))))
+    dx, dy = F.col("x") - F.col("r_x"), F.col("y") - F.col("r_y")
     below = F.col("r_z").isNull() | (F.col("z") <= F.col("r_z") + F.col("r_z_margin_m"))
-    return points.join(r, (dx * dx + dy * dy <= radius * radius) & below, "left_semi")
+    same = (_cell(F.col("x"), size) == F.col("r_gx")) & (_cell(F.col("y"), size) == F.col("r_gy"))
+    return points.join(r, same & (dx * dx + dy * dy <= radius * radius) & below, "left_semi")
+
+
+def _cell(c: Column, size: float) -> Column:
+    return F.floor(c / size).cast("long")
 
 
 def width(sx: str = "size_x", sy: str = "size_y") -> Column:

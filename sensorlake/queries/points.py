@@ -55,7 +55,7 @@ def z_threshold(spark, sf_dir):
        f"SELECT frame, point_index, {XYZ} FROM pts WHERE EXISTS (SELECT 1 FROM q WHERE (x - rx) * (x - rx) + (y - ry) * (y - ry) <= 0.6 * 0.6 AND (rz IS NULL OR z <= rz + 0.7))")
 def protect_regions(spark, sf_dir):
     k = F.col("s_suppkey")
-    regions = spark.read.parquet(f"{sf_dir}/supplier.parquet").where(k < 12).select(
+    regions = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
         (k % 9 - 4).cast("double").alias("x"), (k % 17 - 8).cast("double").alias("y"), F.when(k % 3 > 0, (k % 3).cast("double")).alias("z"),
         F.lit(0.6).alias("radius_m"), F.lit(0.7).alias("z_margin_m"))
     return _points(filters.protected(pts(spark, sf_dir), regions))

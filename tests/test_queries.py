@@ -31,3 +31,29 @@ def test_query(spark, name):
 def test_stream_equals_batch(spark):
     rows = lambda n: sorted(map(tuple, QUERIES[n](spark, SF).select("user_id", "ts", "x", "quality", "lifecycle").collect()), key=repr)
     assert rows("stream_tracker") == rows("single_tracker")
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="needs the driver's tables")
+def test_every_supplier_protects(spark):
+    """The query's SQL keeps s_suppkey < 12, which is all suppliers only on the smallest tables."""
+    sf, cut = "/root/testdata/sf0.01", " WHERE s_suppkey < 12"
+    assert cut in ORACLES["protect_regions"]
+    db = duckdb.connect()
+    for t in TABLES:
+        db.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = db.sql(ORACLES["protect_regions"].replace(cut, ""))
+    got = QUERIES["protect_regions"](spark, sf)
+    assert sorted(map(tuple, got.select(want.columns).collect())) == sorted(want.fetchall())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_cylinders_of_all_sizes(spark):
+    from sensorlake.operators.filters import protected
+
+    points = [(i, x / 4, y / 4, z) for i, (x, y, z) in enumerate((x, y, z) for x in range(-12, 13) for y in range(-12, 13) for z in (0.0, 2.0))]
+    regions = [(0.0, 0.0, 1.0, 2.5, 0.5), (-1.25, 1.0, None, 0.25, 0.0), (0.0, 0.0, 1.0, 2.5, 0.5), (2.0, -2.0, 0.0, 0.0, 0.0), (None, 0.0, 0.0, 9.0, 9.0)]
+    want = [i for i, x, y, z in points if any(a is not None and (x - a) ** 2 + (y - b) ** 2 <= max(r, 1e-3) ** 2 and (c is None or z <= c + m) for a, b, c, r, m in regions)]
+    got = protected(spark.createDataFrame(points, "i int, x double, y double, z double"),
+                    spark.createDataFrame(regions, "x double, y double, z double, radius_m double, z_margin_m double"))
+    assert sorted(r.i for r in got.collect()) == want

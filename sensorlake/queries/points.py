@@ -278,7 +278,7 @@ def hull_area(spark, sf_dir):
 @query()
 def hull_roi(spark, sf_dir):
     v = vec(spark, sf_dir).select("frame", "id", "label", (F.col("x") * 100).alias("u"), (F.col("y") * 100).alias("v"))
-    groups = spatial.hulls(v.where("id % 4 = 0").withColumnRenamed("label", "group_index"), ["frame", "group_index"])
+    groups = spatial.hulls(v.withColumnRenamed("label", "group_index"), ["frame", "group_index"])
     return spatial.hull_join(v.select("frame", "id", "u", "v"), groups, "frame").select("frame", "id", "group_index")
 
 

@@ -57,3 +57,16 @@ def test_cylinders_of_all_sizes(spark):
     got = protected(spark.createDataFrame(points, "i int, x double, y double, z double"),
                     spark.createDataFrame(regions, "x double, y double, z double, radius_m double, z_margin_m double"))
     assert sorted(r.i for r in got.collect()) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="needs the driver's tables")
+def test_all_points_shape_the_hulls(spark):
+    """hull_roi builds its hulls from every point, not from one id in four."""
+    from sensorlake.operators.spatial import hulls, hull_join
+    from sensorlake.queries.base import vec
+
+    v = vec(spark, SF).selectExpr("frame", "id", "label", "x * 100 AS u", "y * 100 AS v")
+    rows = lambda d: sorted(map(tuple, d.select("frame", "id", "group_index").collect()))
+    over = lambda d: rows(hull_join(v.drop("label"), hulls(d.withColumnRenamed("label", "group_index"), ["frame", "group_index"]), "frame"))
+    got = rows(QUERIES["hull_roi"](spark, SF))
+    assert got == over(v) and len(got) > len(over(v.where("id % 4 = 0")))

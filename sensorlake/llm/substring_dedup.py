@@ -14,17 +14,22 @@ new batch goes through these steps:
    is a hit;
 3. verification: documents with hits (of this batch and, from the content store, of older ones) list
    the windows under the hits; windows are equal if fingerprint and window hash (two independent 64-bit
-   hashes of the words) agree.  The earliest of each is a partial aggregate, so a passage that a third of
-   all documents share is no task's burden;
+   hashes over keyed hashes of the words) agree.  The earliest of each is a partial aggregate and goes back
+   to the rows by `join_groups`, so a passage that a third of all documents share is no task's burden.  A
+   batch reads the whole content store, without a shuffle;
 4. fingerprints that only cover repeated windows become tombstones, and when `fan` runs share a level
    they are merged into one run of the next level, without the rows under tombstones.
 
-Edge cases: null and short texts (fewer words than a window) have no windows and stay whole; the id must
-be unique, rows without id are left out; an empty batch changes nothing; other columns are not read.
+Edge cases: null and short texts (fewer words than a window) have no windows and stay whole (null: empty);
+equal rows of one doc_id are one document, so they lose the same words and each gives a row (different
+texts under one doc_id share the places that are repeated in either); rows without id are left out; an
+empty batch changes nothing; other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,7 +39,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sensorlake.llm.kernels import chunks, sequence_hashes, signed, winnow
-from sensorlake.scratch import BucketedTable, release, stored
+from sensorlake.operators.skew import join_groups
+from sensorlake.scratch import BucketedTable, forget, stored
 
 WINDOW, GRAM, FAN = 20, 8, 2
 
@@ -53,10 +59,9 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(1)):
-                at, doc, place = winnow(chunk, window, gram)
+                at, doc, place, grams = winnow(chunk, window, gram)
                 first = np.ones(len(at), dtype=bool)
                 first[1:] = place[1:] != place[:-1]
-                grams = sequence_hashes(chunk.word_hashes(), gram)
                 pairs = np.empty(int(first.sum()), dtype=[("d", np.int64), ("a", np.uint64)])
                 pairs["d"], pairs["a"] = doc[first], grams[place[first]]
                 pairs, n = np.unique(pairs, return_counts=True)
@@ -74,9 +79,8 @@ def windows_under(docs: DataFrame, window: int, gram: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(1)):
-                words = chunk.word_hashes()
-                at, doc, place = winnow(chunk, window, gram)
-                anchors = signed(sequence_hashes(words, gram))[place] if len(at) else at
+                at, doc, place, grams = winnow(chunk, window, gram)
+                anchors = signed(grams)[place] if len(at) else at
                 other = signed(sequence_hashes(chunk.word_hashes(1), window, 1))
                 edges = np.searchsorted(doc, np.arange(chunk.n_docs + 1))
                 keep = np.zeros(len(at), dtype=bool)
@@ -115,8 +119,8 @@ def cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
     def under(chunk, known: list) -> tuple[np.ndarray, np.ndarray]:
         """First words of the chunk's windows and their fingerprints, computed once."""
         if not known:
-            at, _, place = winnow(chunk, window, gram)
-            known += [at, signed(sequence_hashes(chunk.word_hashes(), gram))[place]]
+            at, _, place, grams = winnow(chunk, window, gram)
+            known += [at, signed(grams)[place] if len(at) else at]
         return known[0], known[1]
 
     def one(chunk, i: int, starts, known: list) -> tuple:
@@ -125,6 +129,7 @@ def cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
         gone, spans, covered = np.zeros(n, dtype=bool), [], []
         if starts is not None and len(starts):
             starts = np.unique(starts.to_numpy(zero_copy_only=False))
+            starts = starts[starts + window <= n]
             change = np.zeros(n + 1, dtype=np.int64)
             np.add.at(change, starts, 1)
             np.add.at(change, starts + window, -1)
@@ -142,31 +147,51 @@ def cut(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 class FingerprintIndex:
-    """See the module's docstring.  buckets: parts of every run; give it the partitions of a large shuffle."""
+    """See the module's docstring.  buckets: parts of every run; give it the partitions of a large shuffle.
 
-    def __init__(self, spark: SparkSession, buckets: int | None = None, window: int = WINDOW, gram: int = GRAM, fan: int = FAN):
-        self.spark, self.window, self.gram, self.fan = spark, window, gram, fan
+    With `at`, a folder that driver and executors share, the index outlives the session: every batch ends with a new
+    manifest there, and `FingerprintIndex.reopen(spark, at)` goes on from the last one.
+    """
+
+    def __init__(self, spark: SparkSession, buckets: int | None = None, window: int = WINDOW, gram: int = GRAM, fan: int = FAN,
+                 at: str | None = None):
+        self.spark, self.window, self.gram, self.fan, self.at = spark, window, gram, fan, at
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.runs: list[Run] = []
         self.contents: list[BucketedTable] = []
+        self.version = 0
+
+    def _table(self, df: DataFrame, name: str, key: str) -> BucketedTable:
+        return BucketedTable(df, name, key, self.buckets, at=self.at and f"{self.at}/{name}-{uuid.uuid4().hex}")
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Deduplicates a batch of new documents against the index and each other, and adds them to it."""
         docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-        content = BucketedTable(docs, "content", "doc_id", self.buckets)
-        release()
-        new = BucketedTable(fingerprints(content.read(), self.window, self.gram), "run", "a", self.buckets)
-        release()
+        content = self._table(docs, "content", "doc_id")
+        new = self._table(fingerprints(content.read(), self.window, self.gram), "run", "a")
         hits = self._hits(new)
-        release()
-        result = stored(self._verify(content, new, hits), "deduplicated")
+        result, used = self._verify(content, new, hits)
+        result = stored(result, "deduplicated")
         hits.drop()
-        self._wanted.drop()
-        release()
-        tombs = stored(result.select("doc_id", F.explode("covered").alias("a")), "tombs")
+        used[0].drop()
+        forget(*used[1:])
+        tombs = result.select("doc_id", F.explode("covered").alias("a"))
+        if self.at:
+            path = f"{self.at}/tombs-{uuid.uuid4().hex}"
+            tombs.write.parquet(path)
+            tombs = self.spark.read.schema(tombs.schema).parquet(path)
+            tombs.scratch_path = path
+        else:
+            tombs = stored(tombs, "tombs")
         self.runs.append(Run(0, new, tombs))
         self.contents.append(content)
-        self._compact()
+        dead = self._compact()
+        if self.at:
+            self._write_manifest()
+        for run in dead:
+            run.rows.drop()
+            if run.tombs is not None:
+                forget(run.tombs)
         return result.drop("covered")
 
     def _hits(self, new: BucketedTable) -> BucketedTable:
@@ -176,21 +201,22 @@ class FingerprintIndex:
             found = found.unionByName(own.select("a").join(run.rows.read().select("a"), "a", "left_semi"))
         return BucketedTable(found.distinct(), "hits", "a", self.buckets)
 
-    def _verify(self, content: BucketedTable, new: BucketedTable, hits: BucketedTable) -> DataFrame:
+    def _verify(self, content: BucketedTable, new: BucketedTable, hits: BucketedTable) -> tuple[DataFrame, list]:
+        """The result and the tables that it reads."""
         parts = [t.read().join(hits.read(), "a", "left_semi").select("a", "doc_id") for t in [new, *(r.rows for r in self.runs)]]
         wanted = parts[0]
         for part in parts[1:]:
             wanted = wanted.unionByName(part)
         wanted = BucketedTable(wanted.groupBy("doc_id").agg(F.collect_set("a").alias("hits")), "wanted", "doc_id", self.buckets)
-        self._wanted, fresh = wanted, None
+        listed = None
         for table, age in [(content, 1)] + [(c, 0) for c in self.contents]:
-            listed = windows_under(table.read().join(wanted.read(), "doc_id"), self.window, self.gram).withColumn("age", F.lit(age))
-            fresh = listed if fresh is None else fresh.unionByName(listed)
-        order = self._order(fresh, content)
-        firsts = order.groupBy("a", "w").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1").select("a", "w", "first")
-        repeated = order.where("age = 1").join(firsts, ["a", "w"]).where("at <> first")
+            part = windows_under(table.read().join(wanted.read(), "doc_id"), self.window, self.gram).withColumn("age", F.lit(age))
+            listed = part if listed is None else listed.unionByName(part)
+        windows = stored(self._order(listed, content), "windows")
+        firsts = stored(windows.groupBy("a", "w").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1"), "first-windows")
+        repeated = join_groups(windows.where("age = 1"), firsts, ["a", "w"], "c").where("at <> first")
         starts = repeated.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-        return cut(content.read().join(starts, "doc_id", "left"), self.window, self.gram)
+        return cut(content.read().join(starts, "doc_id", "left"), self.window, self.gram), [wanted, windows, firsts]
 
     def _order(self, windows: DataFrame, content: BucketedTable) -> DataFrame:
         """Adds at, a number that orders windows by (age, doc_id, start)."""
@@ -203,25 +229,51 @@ class FingerprintIndex:
         at = f"((CAST(age AS {kind}) * {width}{'L' if kind == 'long' else ''} + (doc_id - {low}L)) * {length}L + start)"
         return windows.select("a", "w", "doc_id", "start", "age", F.expr(f"CAST({at} AS {kind})").alias("at"))
 
-    def _compact(self) -> None:
-        """Merges the runs of a level that has `fan` of them, without the rows under tombstones."""
-        level = 0
+    def _compact(self) -> list[Run]:
+        """Merges the runs of a level that has `fan` of them, without the rows under tombstones; the runs that are merged."""
+        level, dead = 0, []
         while len(same := [r for r in self.runs if r.level == level]) >= self.fan:
             rows = None
             for run in same:
                 part = run.rows.read()
                 part = part.join(run.tombs, ["a", "doc_id"], "left_anti") if run.tombs is not None else part
                 rows = part if rows is None else rows.unionByName(part)
-            merged = Run(level + 1, BucketedTable(rows, "run", "a", self.buckets), None)
+            merged = Run(level + 1, self._table(rows, "run", "a"), None)
             self.runs = [r for r in self.runs if r.level != level] + [merged]
-            for run in same:
-                run.rows.drop()
-            release()
+            dead += same
             level += 1
+        return dead
+
+    def _write_manifest(self) -> None:
+        """A new file, so that a driver that dies half-way leaves the last whole one."""
+        self.version += 1
+        describe = lambda t: {"path": t.path, "schema": t.schema}
+        manifest = {"window": self.window, "gram": self.gram, "fan": self.fan, "buckets": self.buckets,
+                    "runs": [{"level": r.level, **describe(r.rows), "tombs": r.tombs.scratch_path if r.tombs is not None else None} for r in self.runs],
+                    "contents": [describe(c) for c in self.contents]}
+        self.spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.text(f"{self.at}/manifests/{self.version:09d}")
+
+    @classmethod
+    def reopen(cls, spark: SparkSession, at: str) -> FingerprintIndex:
+        """The index that another session has left in the folder `at`."""
+        last = spark.read.text(f"{at}/manifests/*").select(F.input_file_name().alias("f"), "value").orderBy(F.desc("f")).first()
+        known = json.loads(last.value)
+        index = cls(spark, known["buckets"], known["window"], known["gram"], known["fan"], at)
+        index.version = int(last.f.split("/")[-2])
+        table = lambda x, name, key: BucketedTable(None, name, key, index.buckets, spark, x["path"], x["schema"])
+        for run in known["runs"]:
+            tombs = None
+            if run["tombs"]:
+                tombs = spark.read.schema("doc_id long, a long").parquet(run["tombs"])
+                tombs.scratch_path = run["tombs"]
+            index.runs.append(Run(run["level"], table(run, "run", "a"), tombs))
+        index.contents = [table(c, "content", "doc_id") for c in known["contents"]]
+        return index
 
     def close(self) -> None:
+        """Takes the tables' names out of the catalog; deletes the files of an index without a folder of its own."""
         for table in [*(r.rows for r in self.runs), *self.contents]:
-            table.drop()
+            table.unregister() if self.at else table.drop()
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
@@ -246,7 +298,6 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: i
         part = part if high is None else part.where(F.col("doc_id") <= high)
         results.append(index.ingest(part.join(copies, "doc_id", "left_anti")))
         low = high
-        release()
     index.close()
     unique = results[0]
     for part in results[1:]:

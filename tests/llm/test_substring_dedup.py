@@ -53,5 +53,36 @@ def test_batches_compaction_and_spans(spark, documents):
     index.close()
 
 
+def thue_morse(n):
+    """Two words of n characters that agree in every polynomial hash modulo 2**64, for n of 1024 and more."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_of_equal_polynomial_hash(spark, documents):
+    x, y = thue_morse(2048)
+    tail = " ".join(f"w{i}" for i in range(19))
+    rows = [(1, f"{x} {tail}"), (2, f"{y} {tail}"), (3, f"{x} {tail}")]
+    got = {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept.encode()).hexdigest()) for r in deduplicate(documents(rows)).collect()}
+    assert got == brute(rows) and got[2][1] == 0 and got[3][1] == 20
+
+
+def test_index_goes_on_in_another_session(spark, documents, tmp_path):
+    rows = texts(random.Random(9))
+    got = {}
+    for n, part in enumerate((rows[:20], rows[20:35], rows[35:])):
+        index = FingerprintIndex(spark, buckets=3, at=str(tmp_path)) if n == 0 else FingerprintIndex.reopen(spark, str(tmp_path))
+        got |= {r.doc_id: r.n_removed for r in index.ingest(documents(part)).collect()}
+        index.close()
+    assert got == {k: v[1] for k, v in brute(rows).items()}
+
+
+def test_repeated_rows_null_ids_and_other_columns(spark, documents):
+    text = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, text, 5), (1, text, 6), (2, "new " + text, 7), (None, text, 8)]
+    got = sorted((r.doc_id, r.n_removed) for r in deduplicate(documents(rows, ", n_removed int")).collect())
+    assert got == [(1, 0), (1, 0), (2, 30)]
+
+
 def test_empty_table(spark, documents):
     assert deduplicate(documents([])).count() == 0

@@ -1,6 +1,6 @@
 import random
 
-from sensorlake.llm.line_dedup import dedup_lines
+from sensorlake.llm.line_dedup import clean_lines, dedup_lines
 
 
 def one_edit(a, b):
@@ -64,3 +64,18 @@ def test_short_repeats_in_query_and_pipeline(spark, documents, tmp_path):
     assert {r.doc_id: r.text for r in got} == want and {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 3, 3: 2}
     staged = lines(spark, docs.selectExpr("*", "cast(char_length(text) as long) AS n_chars"), str(tmp_path)).collect()
     assert {r.doc_id: r.text for r in staged} == want and all(r.n_chars == len(r.text) for r in staged)
+
+
+def test_lines_of_many_code_points(spark, documents):
+    rng = random.Random(3)
+    base = "".join(rng.choice("abcdé ") for _ in range(120_000))
+    rows = [(1, base), (2, base[:70_001] + "Z" + base[70_002:]), (3, base[:9] + base[10:]), (4, base + "Q"), (5, base[:5] + "Z" + base[5:90_000] + base[90_001:])]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(documents(rows)).collect()}
+    assert got == {1: 0, 2: 1, 3: 1, 4: 1, 5: 0}
+
+
+def test_columns_named_like_the_results(spark, documents):
+    line = "the same long line of text"
+    df = documents([(1, line, 7, 8, 9), (2, f"{line}\nshort", 7, 8, 9), (2, f"{line}\nshort", 7, 8, 9)], ", n_lines int, n_removed int, __gone int")
+    assert sorted((r.doc_id, r.n_lines, r.n_removed, r["__gone"]) for r in dedup_lines(df).collect()) == [(1, 1, 0, 9), (2, 2, 1, 9), (2, 2, 1, 9)]
+    assert sorted(tuple(r) for r in clean_lines(df).collect()) == [(1, line, 7, 8, 9), (2, "short", 7, 8, 9), (2, "short", 7, 8, 9)]

@@ -160,8 +160,8 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op8_line_dedup"] = r"""
 WITH l AS (SELECT doc_id, p, a[p] AS s FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents WHERE text IS NOT NULL), LATERAL (SELECT unnest(range(1, len(a) + 1)) AS p)),
-f AS (SELECT s, min((doc_id, p)) AS first, length(s) AS n FROM l WHERE length(s) >= 20 GROUP BY s),
-c AS (SELECT s, first, n, n AS c FROM f UNION ALL SELECT s, first, n, n - 1 FROM f),
+f AS (SELECT s, min((doc_id, p)) AS first, length(s) AS n FROM l WHERE length(s) >= 20 OR regexp_matches(s, '[\p{L}\p{N}]') GROUP BY s),
+c AS (SELECT s, first, n, n AS c FROM f WHERE n >= 20 UNION ALL SELECT s, first, n, n - 1 FROM f WHERE n >= 20),
 k AS (SELECT s, first, n, c, 'l' AS side, left(s, c // 2) AS h FROM c UNION ALL SELECT s, first, n, c, 'r', right(s, c - c // 2) FROM c),
 near AS (SELECT DISTINCT b.s FROM k a JOIN k b USING (c, side, h) WHERE a.first < b.first AND levenshtein(a.s, b.s) <= 1),
 gone AS (SELECT l.doc_id, l.p, l.s FROM l JOIN f USING (s) WHERE (l.doc_id, l.p) <> f.first OR l.s IN (SELECT s FROM near)),

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sensorlake.llm import decontaminate, jaccard_join, line_dedup, packing, quality_rules
 from sensorlake.scratch import stored
@@ -22,9 +21,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes lines that repeat earlier ones, from 20 code points on up to one edit; n_chars follows the text."""
-    found = line_dedup.dedup_lines(docs, exact_chars=1)
-    changed = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return found.select(*[changed.alias(c) if c == "n_chars" else c for c in docs.columns])
+    return line_dedup.clean_lines(docs, exact_chars=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,18 +1,22 @@
 """Chat formatting with schema fingerprinting.
 
 Each record is a JSON document in one of several layouts (prompt/response, instruction/input/output,
-role-content messages, from-value conversations, ...).  Its nested field paths are hashed; the hash
-selects a declarative mapping that turns the record into canonical ``(role, text)`` turns, and a
-template writes them with control marks::
+role-content messages, from-value conversations, ...).  The nested field paths that some layout knows are
+hashed; the hash selects a declarative mapping that turns the record into canonical ``(role, text)`` turns
+(a hash that is met for the first time is resolved to the layout with the most fields among those whose
+fields are all there, so other keys, such as ids, do no harm).  A template writes the turns with control marks::
 
     <|im_start|>role\\ntext<|im_end|>\\n
 
 Inside roles and texts every backslash becomes two and every ``<|`` becomes ``<\\|`` (and a line
-feed in a role ``\\n``), so no text can forge a mark and `parse` gives the turns back exactly.  The loss mask is a list of code-point spans
-of the formatted string that cover the assistants' texts.
-
-Edge cases: a null text or role is empty; an empty or null record, and one whose fingerprint has no
-mapping, gives no turns and ``mapping`` null; repeated turns stay, in the order given.
+feed in a role ``\\n``), so no text can forge a mark and `parse` gives the turns back exactly.  The loss mask is a
+list of code-point spans of the formatted string that cover the assistants' texts.
+
+Edge cases: a null text or role is empty; numbers, booleans and nested values are their JSON text; a turn that
+is no object is a text without role; a lone surrogate becomes U+FFFD; texts of any length are kept whole;
+an empty or null record, one that is no JSON object or nested too deeply for the parser, and one with no
+layout's fields give no turns and ``mapping`` null; repeated turns and rows stay, in the order given; an empty
+table gives an empty result; columns other than id and record are not read.
 """
 
 from __future__ import annotations
@@ -30,17 +34,36 @@ from pyspark.sql import functions as F
 START, END = "<|im_start|>", "<|im_end|>\n"
 
 
-def field_paths(value, path: str = "") -> set[str]:
-    """Paths of all leaves; list items share one path."""
-    if isinstance(value, dict):
-        return set().union({path + "{}"}, *(field_paths(v, f"{path}.{k}") for k, v in value.items()))
-    if isinstance(value, list):
-        return set().union({path + "[]"}, *(field_paths(v, path + "[]") for v in value))
-    return {path}
+def field_paths(value) -> set[str]:
+    """Paths of all leaves and containers; list items share one path."""
+    found, stack = set(), [("", value)]
+    while stack:
+        path, value = stack.pop()
+        if isinstance(value, dict):
+            found.add(path + "{}")
+            stack += [(f"{path}.{k}", v) for k, v in value.items()]
+        elif isinstance(value, list):
+            found.add(path + "[]")
+            stack += [(path + "[]", v) for v in value]
+        else:
+            found.add(path)
+    return found
+
 
+def fingerprint(paths: Iterable[str]) -> str:
+    return hashlib.md5("\n".join(sorted(paths)).encode("utf-8", "surrogatepass")).hexdigest()
 
-def fingerprint(record) -> str:
-    return hashlib.md5("\n".join(sorted(field_paths(record))).encode()).hexdigest()
+
+def as_text(value) -> str:
+    """Strings as they are, null empty, everything else as JSON."""
+    if value is None:
+        return ""
+    text = value if isinstance(value, str) else json.dumps(value, ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:  # surrogates: pairs are put together, lone ones replaced
+        text = text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return text
 
 
 @dataclass(frozen=True)
@@ -58,9 +81,27 @@ class Layout:
     def read(self, record: dict) -> list[tuple[str, str]]:
         if self.turns is not None:
             names = dict(self.roles)
-            rows = [(x.get(self.role_key) or "", x.get(self.text_key) or "") for x in record[self.turns]]
+            rows = [(as_text(x.get(self.role_key)), as_text(x.get(self.text_key))) if isinstance(x, dict) else ("", as_text(x))
+                    for x in record[self.turns]]
             return [(names.get(r, r), t) for r, t in rows]
-        return [(role, "\n\n".join(record[k] or "" for k in keys)) for role, keys in self.fields]
+        return [(role, "\n\n".join(as_text(record[k]) for k in keys)) for role, keys in self.fields]
+
+
+class Mappings:
+    """Finds the layout of a record by the hash of its known field paths."""
+
+    def __init__(self, layouts: Iterable[Layout]):
+        self.paths = [(x, frozenset(field_paths(x.example))) for x in layouts]
+        self.known = frozenset().union(*(p for _, p in self.paths))
+        self.by_print: dict[str, Layout | None] = {fingerprint(p): x for x, p in self.paths}
+
+    def of(self, record: dict) -> Layout | None:
+        own = field_paths(record) & self.known
+        key = fingerprint(own)
+        if key not in self.by_print:
+            fitting = [(len(p), -i) for i, (_, p) in enumerate(self.paths) if p <= own]
+            self.by_print[key] = self.paths[-max(fitting)[1]][0] if fitting else None
+        return self.by_print[key]
 
 
 _MESSAGE = {"role": "", "content": ""}
@@ -112,21 +153,23 @@ def parse(formatted: str) -> list[tuple[str, str]]:
 def format_chats(records: DataFrame, id_col: str = "conv_id", record_col: str = "record",
                  layouts: Iterable[Layout] = LAYOUTS, loss_roles: Iterable[str] = ("assistant",)) -> DataFrame:
     """(id, JSON record) to (id, mapping, formatted, loss_spans); one row per input row, no shuffle."""
-    by_print = {fingerprint(x.example): x for x in layouts}
-    trained = frozenset(loss_roles)
+    layouts, trained = tuple(layouts), frozenset(loss_roles)
 
-    def one(raw: str | None) -> tuple:
+    def one(raw: str | None, mappings: Mappings) -> tuple:
+        layout, turns = None, []
         try:
             record = json.loads(raw) if raw else None
-        except ValueError:
-            record = None
-        layout = by_print.get(fingerprint(record)) if isinstance(record, dict) else None
-        formatted, spans = write(layout.read(record) if layout else [], trained)
+            layout = mappings.of(record) if isinstance(record, dict) else None
+            turns = layout.read(record) if layout else []
+        except (ValueError, RecursionError):
+            layout = None
+        formatted, spans = write(turns, trained)
         return layout and layout.name, formatted, [{"start": a, "stop": b} for a, b in spans]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mappings = Mappings(layouts)
         for pdf in batches:
-            rows = [one(x) for x in pdf[record_col]]
+            rows = [one(x, mappings) for x in pdf[record_col]]
             out = pd.DataFrame(rows, columns=["mapping", "formatted", "loss_spans"], index=pdf.index)
             yield pd.concat([pdf[[id_col]], out], axis=1)
 
@@ -136,25 +179,34 @@ def format_chats(records: DataFrame, id_col: str = "conv_id", record_col: str =
 
 
 def conversation_records(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) to one JSON record per conversation, in the layout its shape suggests.
+    """Rows (conv_id, turn, role, text) to one JSON record per conversation.
 
-    A user-assistant pair becomes prompt/response, a system-user-assistant triple gets a system field,
-    everything else is a list of messages.  A conversation is one training example, so its rows meet
-    in one row of the result; rows without conv_id form one conversation of their own.
+    A system-user-assistant triple gets a system field; the user-assistant pairs are dealt by a hash of conv_id to the
+    layouts of two fields, or to instruction, input and output if the user's text has a blank line; everything else is
+    a list of messages or, for every other conversation of the usual roles, of from-value turns.  A conversation
+    is one training example, so its rows meet in one row of the result; rows without conv_id form one
+    conversation of their own.
     """
     turns = F.array_sort(F.collect_list(F.struct(
         F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))))
     grouped = conversations.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(turns.alias("t"))
-    roles = F.transform("t", lambda x: x["role"])
+    grouped = grouped.withColumn("roles", F.transform("t", lambda x: x["role"])).withColumn("deal", F.pmod(F.xxhash64("conv_id"), F.lit(8)))
+    shape = lambda *roles: F.col("roles") == F.array(*map(F.lit, roles))
     text = lambda i, name: F.get(F.col("t"), i)["content"].alias(name)
+    record = lambda *fields: F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+    user, at = F.get(F.col("t"), 0)["content"], F.instr(F.get(F.col("t"), 0)["content"], "\n\n")
+    split = record(F.left(user, at - 1).alias("instruction"), F.substr(user, at + 2).alias("input"), text(1, "output"))
+    pairs = [("prompt", "response"), ("prompt", "completion"), ("question", "answer"), ("instruction", "output")]
+    pair = F.when((at > 0) & (F.col("deal") >= 4), split)
+    for i, (a, b) in enumerate(pairs):
+        pair = pair.when(F.col("deal") % 4 == i, record(text(0, a), text(1, b)))
+    usual = F.forall("roles", lambda r: r.isin("system", "user", "assistant")) & (F.col("deal") % 2 == 1)
+    named = lambda r: F.when(r == "user", "human").when(r == "assistant", "gpt").otherwise(r)
+    conversation = F.transform("t", lambda x: F.struct(named(x["role"]).alias("from"), x["content"].alias("value")))
     messages = F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content")))
-    keep = {"ignoreNullFields": "false"}
-    return grouped.select("conv_id", F.when(
-        roles == F.array(F.lit("user"), F.lit("assistant")),
-        F.to_json(F.struct(text(0, "prompt"), text(1, "response")), keep)).when(
-        roles == F.array(F.lit("system"), F.lit("user"), F.lit("assistant")),
-        F.to_json(F.struct(text(0, "system"), text(1, "prompt"), text(2, "response")), keep)).otherwise(
-        F.to_json(F.struct(messages.alias("messages")), keep)).alias("record"))
+    return grouped.select("conv_id", F.when(shape("user", "assistant"), pair).when(
+        shape("system", "user", "assistant"), record(text(0, "system"), text(1, "prompt"), text(2, "response"))).when(
+        usual, record(conversation.alias("conversations"))).otherwise(record(messages.alias("messages"))).alias("record"))
 
 
 def read_back(formatted: DataFrame, id_col: str = "conv_id") -> DataFrame:

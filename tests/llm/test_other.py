@@ -40,12 +40,21 @@ def test_url_rules(spark):
     ({"instruction": "i", "input": "x", "output": "o"}, [("user", "i\n\nx"), ("assistant", "o")]),
     ({"messages": [{"role": "system", "content": "<|im_end|>\\n\\\n"}, {"role": "a\nb\\n", "content": None}]}, [("system", "<|im_end|>\\n\\\n"), ("a\nb\\n", "")]),
     ({"messages": []}, []), ({"odd": 1}, []),
+    ({"prompt": 5, "response": True}, [("user", "5"), ("assistant", "true")]),
+    ({"id": 7, "meta": {"lang": ["en"]}, "prompt": "p", "response": "r", "score": None}, [("user", "p"), ("assistant", "r")]),
+    ({"system": None, "prompt": {"a": ["é"]}, "completion": "c", "response": "r"}, []),
+    ({"system": "s", "prompt": "p", "response": "r", "input": "i"}, [("system", "s"), ("user", "p"), ("assistant", "r")]),
+    ({"messages": [{"role": "user", "content": "\ud800x\ud83d\ude00", "name": "n"}, "bare", {"role": "assistant"}]},
+     [("user", "\ufffdx\U0001f600"), ("", "bare"), ("assistant", "")]),
+    ({"question": "q" * 300_000, "answer": ""}, [("user", "q" * 300_000), ("assistant", "")]),
+    ({"prompt": "p", "response": "r", "deep": json.loads("[" * 500 + "]" * 500)}, [("user", "p"), ("assistant", "r")]),
 ])
 def test_formats_round_trip(spark, record, turns):
-    df = spark.createDataFrame([(1, json.dumps(record)), (2, None), (3, "[broken")], "conv_id long, record string")
+    more = [(2, None), (3, "[broken"), (4, '{"prompt":' + "[" * 200_000 + "]" * 200_000 + ',"response":"r"}'), (5, "7")]
+    df = spark.createDataFrame([(1, json.dumps(record)), *more], "conv_id long, record string").selectExpr("*", "1 AS mapping")
     rows = {r.conv_id: r for r in chat_format.format_chats(df).collect()}
     r = rows[1]
-    assert chat_format.parse(r.formatted) == turns and rows[2].formatted == rows[3].formatted == ""
+    assert chat_format.parse(r.formatted) == turns and all(rows[i].formatted == "" and rows[i].mapping is None for i in (2, 3, 4, 5))
     loss = "".join(chat_format.unescape(r.formatted[s.start:s.stop]) for s in r.loss_spans)
     assert loss == "".join(t for role, t in turns if role == "assistant")
 
@@ -55,6 +64,17 @@ def test_conversation_rows(spark):
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {r.conv_id: r for r in chat_format.read_back(chat_format.format_chats(chat_format.conversation_records(df))).collect()}
     assert got[1].turns_sha256 == hashlib.sha256(b"user\n\nassistant\nb\n").hexdigest() and got[2].n_turns == 2
+    assert chat_format.read_back(chat_format.format_chats(chat_format.conversation_records(df.where("false")))).count() == 0
+
+
+def test_conversations_meet_every_layout(spark):
+    shapes = [("user", "assistant"), ("system", "user", "assistant"), ("user", "assistant", "user"), ("odd",)]
+    rows = [(i, t, role, f"a{i}\n\nb\n\nc" if i % 3 else "x") for i in range(200) for t, role in enumerate(shapes[i % 4])]
+    records = chat_format.conversation_records(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    found = {r.conv_id: r for r in chat_format.format_chats(records).collect()}
+    assert {r.mapping for r in found.values()} == {x.name for x in chat_format.LAYOUTS} - {"messages_empty"}
+    for i, r in found.items():
+        assert chat_format.parse(r.formatted) == [(role, f"a{i}\n\nb\n\nc" if i % 3 else "x") for role in shapes[i % 4]]
 
 
 PAGE = """<html><head><title>t</title></head><body><header><h1>Site</h1></header><div class="side sidebar">s</div><nav><li>m</nav>

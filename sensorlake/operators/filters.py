@@ -102,6 +102,13 @@ def local_roi(points: DataFrame, centers: DataFrame, frame: str, roi: LocalRoi =
         F.col("__near") | (F.col("__n") < roi.min_points)).select(points.columns)
 
 
+def crop_around(points: DataFrame, states: DataFrame, frame: str, half_width: float = 2.5, half_height: float = 2.5) -> DataFrame:
+    """Points in the inclusive box around their frame's state(frame, x, y); a frame without a state keeps all of them."""
+    s = states.select(F.col(frame).alias("__f"), F.col("x").alias("__x"), F.col("y").alias("__y"))
+    near = F.col("x").between(F.col("__x") - half_width, F.col("__x") + half_width) & F.col("y").between(F.col("__y") - half_height, F.col("__y") + half_height)
+    return points.join(s, F.col(frame) == F.col("__f"), "left").where(F.col("__x").isNull() | near).select(points.columns)
+
+
 def motion_limits(m: Motion, has_marker: Column, reconnects: Column, rescue: Column) -> dict[str, Column]:
     """Thresholds after the overrides: base, with marker, reconnecting, rescue."""
     late = has_marker & (reconnects >= m.reconnect_after)

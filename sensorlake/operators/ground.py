@@ -43,46 +43,53 @@ def _spared(points: DataFrame, cells: DataFrame, frame: str, g: Ground, regions:
     return protected(low, regions)
 
 
-def plane(z: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[float, float, float] | None:
-    """Least-squares z = a x + b y + c, minimum norm where the points are collinear; None for fewer than three."""
-    if len(z) < 3:
-        return None
-    return tuple(np.linalg.lstsq(np.column_stack([x, y, np.ones(len(x))]), z, rcond=None)[0].tolist())
+#: Eigenvalues below this share of the largest count as none: the points lie on a line.
+FLAT = 1e-12
+
+
+def fit_planes(sums: pd.DataFrame) -> pd.DataFrame:
+    """Least-squares z = a x + b y + c from sums over the points, minimum norm where they lie on a line; null for fewer than three."""
+    n, sx, sy, sz, sxx, sxy, syy, sxz, syz = (sums[c].to_numpy(float) for c in ("n", "sx", "sy", "sz", "sxx", "sxy", "syy", "sxz", "syz"))
+    normal = np.stack([np.stack(row, axis=-1) for row in ((sxx, sxy, sx), (sxy, syy, sy), (sx, sy, n))], axis=-2)
+    found = (np.linalg.pinv(normal, rcond=FLAT, hermitian=True) @ np.stack([sxz, syz, sz], axis=-1)[..., None])[..., 0]
+    found[n < 3] = np.nan
+    return pd.DataFrame(found, columns=list("abc"))
 
 
 def cell_planes(points: DataFrame, frame: str, index: str, g: Ground = Ground()) -> DataFrame:
-    """(frame, gx, gy, ground, clearance, a, b, c): planes through the representatives of the cells around
-    (at most (2 r + 1)^2 rows a group); null where fewer than three are there."""
+    """(frame, gx, gy, ground, clearance, a, b, c): planes through the representatives of the cells around, from sums that
+    are aggregated by cell; null where fewer than three are there."""
     cells = low_points(points, frame, index, g)
     near = neighbour_cells(cells, frame, g.radius_cells).join(
         cells.select(frame, F.col("gx").alias("nx"), F.col("gy").alias("ny"), "low.x", "low.y", "low.z"), [frame, "nx", "ny"])
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        found = plane(*(pdf[c].to_numpy() for c in ("z", "x", "y")))
-        row = {frame: pdf[frame].iloc[0], "gx": pdf["gx"].iloc[0], "gy": pdf["gy"].iloc[0]}
-        return pd.DataFrame([row | dict(zip("abc", found or (None, None, None), strict=True))])
-
-    kind = points.schema[frame].dataType.simpleString()
-    planes = near.groupBy(frame, "gx", "gy").applyInPandas(fit, f"{frame} {kind}, gx int, gy int, a double, b double, c double")
+    products = {"s" + "".join(p): p for p in ("x", "y", "z", "xx", "xy", "yy", "xz", "yz")}
+    sums = near.groupBy(frame, "gx", "gy").agg(F.count("*").alias("n"), *[F.sum(F.col(p[0]) * (F.col(p[1]) if len(p) > 1 else 1.0)).alias(n) for n, p in products.items()])
+    plane = F.pandas_udf(fit_planes, "a double, b double, c double")
+    planes = sums.select(frame, "gx", "gy", plane(F.struct("n", *products)).alias("p")).select(frame, "gx", "gy", "p.*")
     return cells.select(frame, "gx", "gy", "ground", "clearance").join(planes, [frame, "gx", "gy"], "left")
 
 
-def remove_ground_plane(points: DataFrame, frame: str, index: str, g: Ground = Ground()) -> DataFrame:
-    """Drops points at most the clearance above their cell's plane (without one: above its ground)."""
-    base = F.coalesce(F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c"), F.col("ground"))
+def remove_ground_plane(points: DataFrame, frame: str, index: str, g: Ground = Ground(), regions: DataFrame | None = None) -> DataFrame:
+    """Drops points at most the clearance above their cell's plane (without one: above its ground), but for those in regions."""
+    fitted = F.col("a") * F.col("x") + F.col("b") * F.col("y") + F.col("c")
+    base = F.coalesce(F.nanvl(fitted, F.lit(None)), F.col("ground"))
     joined = gridded(points, g.cell).join(cell_planes(points, frame, index, g), [frame, "gx", "gy"])
-    return joined.where(F.col("z") - base > F.col("clearance")).select(points.columns)
+    high = F.col("z") - base > F.col("clearance")
+    kept = joined.where(high).select(points.columns)
+    return kept if regions is None else kept.unionByName(protected(joined.where(~high).select(points.columns), regions))
 
 
 def remove_ground(points: DataFrame, frame: str, index: str, g: Ground = Ground(), regions: DataFrame | None = None) -> DataFrame:
+    """The height gate comes before every method; z_threshold is the gate alone."""
     if g.cell <= 0:
         raise ValueError("cell must be positive")
+    gated = z_gate(points, *g.z)
     if g.method == "z_threshold":
-        return z_gate(points, *g.z)
+        return gated
     if g.method == "adaptive_grid":
-        return remove_ground_grid(points, frame, g, regions)
+        return remove_ground_grid(gated, frame, g, regions)
     if g.method == "adaptive_plane":
-        return remove_ground_plane(points, frame, index, g)
+        return remove_ground_plane(gated, frame, index, g, regions)
     raise ValueError(f"unknown ground method: {g.method}")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -22,6 +22,11 @@ def normalise_groups(ids) -> list[list[int]]:
     return [list(map(int, g)) for g in ids] if ids and not isinstance(ids[0], int) else [list(map(int, ids))]
 
 
+def distinct_ids(groups: Column) -> Column:
+    """The ids of an array of groups, each once, in the order in which they first come."""
+    return F.array_distinct(F.flatten(groups))
+
+
 def members(detections: DataFrame, groups: DataFrame, marker: str = "marker_id") -> DataFrame:
     each = groups.select("group_index", F.size("target_ids").alias("group_size"), F.explode("target_ids").alias(marker))
     return detections.join(F.broadcast(each), marker)  # as many rows as configured ids

@@ -31,6 +31,15 @@ def panoptic(classes: DataFrame, masks: DataFrame, image: str, least_score: floa
     return won.join(named.join(ids, [image, "class_id", "__unit"]).select(image, "query", "segment"), [image, "query"]).select(image, "pixel", "segment", "class_id")
 
 
+def remap_categories(annotations: DataFrame, categories: DataFrame, column: str = "category_id") -> DataFrame:
+    """annotations with their category as a contiguous number from 0, in the order of the registry's ids.
+
+    categories(id, ...) is a data set's registry, a small dimension; annotations of other categories are left out.
+    """
+    ids = categories.groupBy().agg(F.array_sort(F.collect_set("id")).alias("ids")).select(F.posexplode("ids").alias("__n", column))
+    return annotations.join(F.broadcast(ids), column).withColumn(column, F.col("__n")).select(annotations.columns)
+
+
 def instances(classes: DataFrame, masks: DataFrame, image: str, k: int = 100) -> DataFrame:
     """(image, query, class_id, score): the k best (query, class) of an image, times the mean mask score inside the mask."""
     inside = masks.groupBy(image, "query").agg((F.sum(F.when(F.col("m") > 0.5, F.col("m"))) / (F.count_if(F.col("m") > 0.5) + 1e-6)).alias("__q"))

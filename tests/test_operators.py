@@ -1,3 +1,5 @@
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -16,18 +18,52 @@ def test_ground_quantile_cell(spark):
     z = [.10, .11, .13, .20, 1.0, 1.2]
     p = frame(spark, [(0, i, 0.1, 0.1, v) for i, v in enumerate(z)], "frame int, point_index long, x double, y double, z double")
     assert ground.ground_cells(p, "frame").first().ground == pytest.approx(0.106)
-    kept = ground.remove_ground(p, "frame", "point_index")
+    open_ = Ground(z=(float("-inf"), float("inf")))
+    kept = ground.remove_ground(p, "frame", "point_index", open_)
     assert sorted(r.z for r in kept.collect()) == [.20, 1.0, 1.2]
     regions = frame(spark, [(0.1, 0.1, None, 0.3, 0.7)], "x double, y double, z double, radius_m double, z_margin_m double")
-    assert ground.remove_ground(p, "frame", "point_index", regions=regions).count() == 6
+    for method in ("adaptive_grid", "adaptive_plane"):  # without a gate all six are protected, with it those above it
+        assert ground.remove_ground(p, "frame", "point_index", replace(open_, method=method), regions).count() == 6
+        assert ground.remove_ground(p, "frame", "point_index", Ground(method=method), regions).count() == 4
+        assert ground.remove_ground(p, "frame", "point_index", Ground(method=method, z=(0.0, 1.1))).where("z > 1.1").count() == 0
     with pytest.raises(ValueError):
         ground.remove_ground(p, "frame", "point_index", Ground(method="none"))
 
 
 def test_plane_of_collinear_points_is_minimum_norm():
-    assert ground.plane(np.array([1.0, 1.0]), np.zeros(2), np.zeros(2)) is None
-    a, b, c = ground.plane(np.array([1.0, 1.0, 1.0]), np.zeros(3), np.zeros(3))
-    assert (a, b, c) == pytest.approx((0, 0, 1))
+    rng = np.random.default_rng(5)
+    groups = [np.ones((2, 3)), np.array([[0.0, 0, 1]] * 3), *(rng.uniform(-10, 10, (n, 3)) for n in (3, 4, 9)), np.array([[0.2, 0.2, 1], [0.4, 0.4, 2], [0.8, 0.8, 4]])]
+    sums = [{"n": len(p), **{"s" + c: p[:, "xyz".index(c)].sum() for c in "xyz"},
+             **{"s" + a + b: (p[:, "xyz".index(a)] * p[:, "xyz".index(b)]).sum() for a, b in ("xx", "xy", "yy", "xz", "yz")}} for p in groups]
+    found = ground.fit_planes(pd.DataFrame(sums)).to_numpy()
+    assert np.isnan(found[0]).all()
+    for p, got in zip(groups[1:], found[1:]):
+        want = np.linalg.lstsq(np.column_stack([p[:, 0], p[:, 1], np.ones(len(p))]), p[:, 2], rcond=None)[0]
+        assert got == pytest.approx(want, abs=1e-7)
+
+
+def test_plane_ground_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i % 2, i, *map(float, np.round(rng.uniform(-2, 2, 2), 1)), float(np.round(rng.uniform(-1, 2), 2))) for i in range(300)]
+    g = Ground(method="adaptive_plane", cell=1.0, z=(-0.5, 1.8), clearance=0.0703, fallback_clearance=0.1103)
+    df = frame(spark, rows, "frame int, point_index long, x double, y double, z double")
+    got = {r.point_index for r in ground.remove_ground(df, "frame", "point_index", g).collect()}
+    want, cells = set(), {}
+    for f, i, x, y, z in rows:
+        if g.z[0] <= z <= g.z[1]:
+            cells.setdefault((f, int(np.floor(x)), int(np.floor(y))), []).append((i, x, y, z))
+    low = {}
+    for key, own in cells.items():
+        zs = [p[3] for p in own]
+        level, room = (min(zs), 0.1103) if len(own) < g.min_points else (np.quantile(zs, g.quantile), 0.0703)
+        low[key] = (min(own, key=lambda p: (abs(p[3] - level), p[0])), level, room)
+    for (f, a, b), own in cells.items():
+        near = [low[k][0] for k in [(f, a + i, b + j) for i in (-1, 0, 1) for j in (-1, 0, 1)] if k in low]
+        _, level, room = low[f, a, b]
+        m = np.array([[p[1], p[2], 1.0] for p in near])
+        plane = np.linalg.lstsq(m, np.array([p[3] for p in near]), rcond=None)[0] if len(near) >= 3 else np.array([0, 0, level])
+        want |= {i for i, x, y, z in own if z - plane @ [x, y, 1.0] > room}
+    assert got == want
 
 
 def test_outliers(spark):

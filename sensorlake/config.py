@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import dataclass, fields
+from pathlib import Path
 
 
 @dataclass(frozen=True)
@@ -138,3 +140,36 @@ TARGET_GROUPS = ((3, 17, 42, 88), (2, 19, 55, 81))
 SYNC_TOLERANCE_S = 0.08
 MAX_SPIKE_SPEED = 5.0
 MAX_GAP_S = 2.0
+
+
+_SECTIONS = {"roi": Roi, "local_roi": LocalRoi, "ego": EgoBox, "ground": Ground, "clustering": Clustering, "person": Person, "tracker": Tracker,
+             "motion": Motion, "extrinsics": Extrinsics, "camera": Camera}
+
+
+def configured(mapping: dict) -> dict:
+    """Typed sections of a configuration; sections and entries that are left out have their defaults, unknown ones are an error."""
+    unknown = set(mapping) - set(_SECTIONS)
+    if unknown:
+        raise ValueError(f"unknown sections: {sorted(unknown)}")
+    found = {}
+    for name, kind in _SECTIONS.items():
+        own = mapping.get(name) or {}
+        strange = set(own) - {f.name for f in fields(kind)}
+        if strange:
+            raise ValueError(f"unknown entries of {name}: {sorted(strange)}")
+        found[name] = kind(**{k: _frozen(v) for k, v in own.items()})
+    return found
+
+
+def _frozen(value):
+    return tuple(map(_frozen, value)) if isinstance(value, list) else value
+
+
+def read_config(path: str) -> dict:
+    """Typed sections of a JSON or (where a YAML parser is installed) YAML file on the driver."""
+    text = Path(path).read_text(encoding="utf-8")
+    if path.endswith((".yaml", ".yml")):
+        import yaml
+
+        return configured(yaml.safe_load(text) or {})
+    return configured(json.loads(text))

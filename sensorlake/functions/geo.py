@@ -118,9 +118,50 @@ def norm3(x: Column, y: Column, z: Column) -> Column:
     return F.sqrt(x * x + y * y + z * z)
 
 
-def between_poses(v: Vector, here: tuple[Column, ...], there: tuple[Column, ...], e: Extrinsics = Extrinsics()) -> Vector:
-    """A lidar point seen at pose here as lidar coordinates at pose there; poses: lat, lon, height, roll, pitch, heading."""
-    out = apply(attitude(*here[3:]), lidar_to_body(v, e))
-    ecef = add(geodetic_to_ecef(*here[:3]), apply(transposed(enu_from_ecef(*here[:2])), out))
-    gap = tuple(a - b for a, b in zip(ecef, geodetic_to_ecef(*there[:3]), strict=True))
-    return body_to_lidar(apply(transposed(attitude(*there[3:])), apply(enu_from_ecef(*there[:2]), gap)), e)
+def with_between_poses(df: DataFrame, v: Vector, here: tuple[Column, ...], there: tuple[Column, ...], names: tuple[str, str, str],
+                       e: Extrinsics = Extrinsics()) -> DataFrame:
+    """df with the lidar points v, seen at pose here, as lidar coordinates at pose there; poses: lat, lon, height, roll,
+    pitch, heading.  Every step is a column, so that the generated code stays small."""
+    staged = lambda table, values, name: table.select("*", *[c.alias(f"__{name}{i}") for i, c in enumerate(values)])
+    at = lambda name: tuple(F.col(f"__{name}{i}") for i in range(3))
+    out = staged(df, here, "h")
+    out = staged(out, there, "t")
+    here, there = ([F.col(f"__{n}{i}") for i in range(6)] for n in "ht")
+    out = staged(out, lidar_to_body(v, e), "body")
+    out = staged(out, apply(attitude(*here[3:]), at("body")), "enu")
+    out = staged(out, add(geodetic_to_ecef(*here[:3]), apply(transposed(enu_from_ecef(*here[:2])), at("enu"))), "ecef")
+    out = staged(out, [a - b for a, b in zip(at("ecef"), geodetic_to_ecef(*there[:3]), strict=True)], "gap")
+    out = staged(out, apply(enu_from_ecef(*there[:2]), at("gap")), "back")
+    out = staged(out, apply(transposed(attitude(*there[3:])), at("back")), "flu")
+    return out.select(*df.columns, *[c.alias(n) for c, n in zip(body_to_lidar(at("flu"), e), names, strict=True)])
+
+
+def point3(v: Column) -> Column:
+    """A point as an array of three numbers; anything else is an error of its row."""
+    return F.when(F.size(v) == 3, v.cast("array<double>")).otherwise(F.raise_error(F.lit("a point has three coordinates")).cast("array<double>"))
+
+
+def rotation3(m) -> tuple:
+    """A 3 x 3 rotation from a configuration, checked on the driver."""
+    found = np.asarray(m, dtype=float)
+    if found.shape != (3, 3):
+        raise ValueError(f"a rotation has 3 x 3 numbers, not {found.shape}")
+    return tuple(map(tuple, found.tolist()))
+
+
+def translation3(t) -> tuple:
+    found = np.asarray(t, dtype=float).reshape(-1)
+    if found.size != 3:
+        raise ValueError(f"a translation has three numbers, not {found.size}")
+    return tuple(found.tolist())
+
+
+def extrinsics_from(mapping) -> Extrinsics:
+    """Extrinsics with the entries of a configuration; what is malformed keeps its default."""
+    found = {}
+    for name, parse in (("r_base_lidar", rotation3), ("t_base_lidar", translation3), ("r_span_base", rotation3), ("t_span_base", translation3)):
+        try:
+            found[name] = parse(mapping[name])
+        except (KeyError, TypeError, ValueError):
+            continue
+    return Extrinsics(**found)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.config import Camera
@@ -36,6 +36,25 @@ def fisheye(x: Column, y: Column, z: Column, c: Camera) -> tuple[Column, Column]
     return c.fx * a * scale + c.cx, c.fy * b * scale + c.cy
 
 
+def with_fisheye(df: DataFrame, v: geo.Vector, names: tuple[str, str], c: Camera) -> DataFrame:
+    """df with the fisheye pixels of v under two names.
+
+    Every step is a column, and the pixels come out of an array of one: filters on them stay above it, where pushed down
+    they would repeat the whole formula in generated code too large for the compiler.
+    """
+    x, y, z = v
+    k1, k2, k3, k4 = c.k
+    front = F.when(z > 0, z)
+    out = df.select("*", (x / front).alias("__a"), (y / front).alias("__b"))
+    out = out.withColumn("__r", F.sqrt(F.col("__a") * F.col("__a") + F.col("__b") * F.col("__b"))).withColumn("__t", F.atan("__r"))
+    t, t2, r = F.col("__t"), F.col("__t2"), F.col("__r")
+    out = out.withColumn("__t2", t * t)
+    out = out.withColumn("__bent", t * (1.0 + k1 * t2 + k2 * t2 * t2 + k3 * t2 * t2 * t2 + k4 * t2 * t2 * t2 * t2))
+    out = out.withColumn("__scale", F.when(r > 0, F.col("__bent") / r).otherwise(F.when(r.isNotNull(), F.lit(1.0))))
+    pixels = (c.fx * F.col("__a") * F.col("__scale") + c.cx, c.fy * F.col("__b") * F.col("__scale") + c.cy)
+    return out.select(*df.columns, F.inline(F.array(F.struct(*[p.alias(n) for p, n in zip(pixels, names, strict=True)]))))
+
+
 def lidar_to_camera(v: geo.Vector, c: Camera) -> geo.Vector:
     return geo.rigid_inverse(c.r_lidar_camera, c.t_lidar_camera, v)
 

@@ -75,3 +75,32 @@ def grid_lines(low: float, high: float, step: float) -> Column:
 def point_line(index: Column, x: Column, y: Column, z: Column) -> Column:
     """A point of a region dump with its depth."""
     return F.format_string("%6d %10.4f %10.4f %10.4f %10.4f", index, x, y, z, F.sqrt(x * x + y * y + z * z))
+
+
+def iso_zoned(seconds: Column) -> Column:
+    """ISO time with the session's offset; microseconds only where there are any."""
+    micros = F.bround(seconds * 1e6).cast("long")
+    at = F.timestamp_micros(micros)
+    return F.when(micros % 1_000_000 == 0, F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssxxx")).otherwise(F.date_format(at, "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
+
+
+def frame_name(index: Column, ts: Column) -> Column:
+    """Name of a frame's files."""
+    return F.format_string("frame_%06d_%.3f", index, ts)
+
+
+def axis_labels(view: str) -> tuple[str, str]:
+    return ("x", "y") if view == "bev" else ("x", "z")
+
+
+def axis_limits(view: str, x: tuple[float, float], y: tuple[float, float], z: tuple[float, float]) -> tuple[str, str]:
+    """Limits of the two axes of a view, as text."""
+    text = lambda v: f"[{v[0]:.1f},{v[1]:.1f}]"
+    return text(x), text(y if view == "bev" else z)
+
+
+def set_nested(mapping: dict, keys: list[str], value) -> dict:
+    """The configuration with a nested entry set; what lies in the way and is no mapping is replaced."""
+    head, *rest = keys
+    inner = mapping.get(head)
+    return mapping | {head: set_nested(inner if isinstance(inner, dict) else {}, rest, value) if rest else value}

@@ -27,7 +27,7 @@ def ground_lab(points: DataFrame, roi: Roi = Roi(), ego: EgoBox = EgoBox(), g: G
     return joined.withColumn("keep_ratio", F.coalesce(F.bround(F.try_divide("kept", "inside"), 6), F.lit(0.0)))
 
 
-def lidar_tracking(points: DataFrame, times: DataFrame, bag: str = "bag", cfg: Tracker = Tracker(), c: Clustering = Clustering(),
+def lidar_states(points: DataFrame, times: DataFrame, bag: str = "bag", cfg: Tracker = Tracker(), c: Clustering = Clustering(),
                    p: Person = Person(), g: Ground = Ground()) -> DataFrame:
     """points(bag, frame, point_index, x, y, z) and times(bag, frame, ts) to one tracker state per frame.
 
@@ -51,8 +51,7 @@ def marker_targets(detections: DataFrame, frame: str = "frame") -> DataFrame:
 def hull_targets(points: DataFrame, targets: DataFrame, camera: Camera = Camera()) -> DataFrame:
     """Mean position of the lidar points that project into each group's hull, without outliers."""
     v = projection.lidar_to_camera((F.col("x"), F.col("y"), F.col("z")), camera)
-    u, w = projection.fisheye(*v, camera)
-    seen = points.withColumn("u", u).withColumn("v", w).where(F.col("u").isNotNull() & projection.in_image(F.col("u"), F.col("v"), camera))
+    seen = projection.with_fisheye(points, v, ("u", "v"), camera).where(F.col("u").isNotNull() & projection.in_image(F.col("u"), F.col("v"), camera))
     inside = spatial.hull_join(seen, targets.select("frame", "group_index", "hull", "area", "x_min", "x_max", "y_min", "y_max"), "frame")
     keyed = inside.withColumn("target", F.struct("frame", "group_index"))
     clean = filters.outliers_removed(keyed, "target")
@@ -81,7 +80,7 @@ def world_solution(targets: DataFrame, poses: DataFrame, bag: str = "bag", e: Ex
     ecef = geo.add(geo.geodetic_to_ecef(lat, lon, h), geo.apply(geo.transposed(geo.enu_from_ecef(lat, lon)), enu))
     out = posed.select("*", *[c.alias(f"ecef_{n}") for c, n in zip(ecef, "xyz", strict=True)])
     out = geo.with_geodetic(out, ("ecef_x", "ecef_y", "ecef_z"), ("lat", "lon", "height"))
-    origin = poses.agg(F.min_by(F.struct(*POSE_LINEAR), "ts").alias("o"))  # one row
+    origin = first_pose(poses)
     place = tuple(F.col(f"o.{c}") for c in POSE_LINEAR)
     zero = geo.geodetic_to_ecef(*place)
     local = geo.apply(geo.enu_from_ecef(place[0], place[1]), tuple(F.col(f"ecef_{n}") - z for n, z in zip("xyz", zero, strict=True)))
@@ -89,9 +88,26 @@ def world_solution(targets: DataFrame, poses: DataFrame, bag: str = "bag", e: Ex
     return out.join(F.broadcast(origin)).select(*out.columns, *named)
 
 
-def cleaned(world: DataFrame, key: str, frames: DataFrame, max_speed: float = MAX_SPIKE_SPEED, max_gap: float = MAX_GAP_S) -> tuple[DataFrame, DataFrame]:
-    """world(key, ts, e, n, u) without spikes and with short gaps filled at the times of frames(key, ts); the
-    second table lists the gaps that stay open."""
+def first_pose(poses: DataFrame) -> DataFrame:
+    """The origin of the local frame: one row."""
+    return poses.agg(F.min_by(F.struct(*POSE_LINEAR), "ts").alias("o"))
+
+
+def placed(local: DataFrame, poses: DataFrame) -> DataFrame:
+    """local(e, n, u, ...) about the first pose, with ecef_x, ecef_y, ecef_z, lat, lon and height."""
+    both = local.join(F.broadcast(first_pose(poses)))
+    place = tuple(F.col(f"o.{c}") for c in POSE_LINEAR)
+    shift = geo.apply(geo.transposed(geo.enu_from_ecef(place[0], place[1])), (F.col("e"), F.col("n"), F.col("u")))
+    ecef = geo.add(geo.geodetic_to_ecef(*place), shift)
+    out = both.select(*local.columns, *[c.alias(f"ecef_{n}") for c, n in zip(ecef, "xyz", strict=True)])
+    return geo.with_geodetic(out, ("ecef_x", "ecef_y", "ecef_z"), ("lat", "lon", "height"))
+
+
+def cleaned(world: DataFrame, key: str, frames: DataFrame, max_speed: float = MAX_SPIKE_SPEED, max_gap: float = MAX_GAP_S,
+            poses: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """world(key, ts, e, n, u) without spikes and with short gaps filled at the times of frames(key, ts), with world positions
+    (see `placed`) if poses are given; the second table lists the gaps that stay open."""
     kept = trajectory.reject_spikes(world, key, "ts", ["e", "n"], max_speed).select(key, "ts", "e", "n", "u", F.lit(True).alias("seen"))
     every = frames.select(key, "ts").distinct().join(kept, [key, "ts"], "left").withColumn("seen", F.coalesce("seen", F.lit(False)))
-    return trajectory.fill_gaps(every, key, "ts", "seen", ["e", "n", "u"], max_gap), trajectory.long_gaps(every, key, "ts", "seen", max_gap)
+    filled = trajectory.fill_gaps(every, key, "ts", "seen", ["e", "n", "u"], max_gap)
+    return filled if poses is None else placed(filled, poses), trajectory.long_gaps(every, key, "ts", "seen", max_gap)

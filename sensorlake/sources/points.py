@@ -71,3 +71,37 @@ def open_source(spark: SparkSession, kind: str, path: str) -> DataFrame:
     if kind not in ("points", "frames"):
         raise ValueError(f"unknown source type: {kind}")
     return spark.read.parquet(path)
+
+
+def decode_objects(messages: DataFrame) -> DataFrame:
+    """Messages whose points are records already, messages(bag, frame_index, ts, points array<struct<x, y, z>>), to rows."""
+    each = messages.select("bag", "frame_index", "ts", F.posexplode("points").alias("point_index", "p"))
+    return each.select("bag", "frame_index", "ts", F.col("point_index").cast("long").alias("point_index"), *[F.col(f"p.{c}").cast("double").alias(c) for c in "xyz"])
+
+
+def live_frames(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """A stream of the images that a camera process writes to a folder: (path, ts in wall-clock seconds, data)."""
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    stream = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder)
+    return stream.select("path", F.col("modificationTime").cast("double").alias("ts"), F.col("content").alias("data"))
+
+
+def replayed(messages: DataFrame, times: int) -> DataFrame:
+    """messages over and over, as a looping source gives them, with the number of the round."""
+    return messages.select("*", F.explode(F.sequence(F.lit(0), F.lit(times - 1))).alias("round"))
+
+
+def discover(files: DataFrame) -> DataFrame:
+    """(dataset, status, reason, bags) of the data sets in a listing of files(path) below one root.
+
+    A data set is a folder <root>/<dataset>/CollectionSystem with a pose file IE/<dataset>.txt and a folder rosbag, at most one
+    level further down, with recordings.
+    """
+    parts = files.select("path", F.regexp_extract("path", r"([^/]+)/CollectionSystem/(.*)$", 1).alias("dataset"),
+                         F.regexp_extract("path", r"/CollectionSystem/(.*)$", 1).alias("rest")).where("dataset <> ''")
+    bag = F.col("rest").rlike(r"^([^/]+/)?rosbag/[^/]+\.bag$")
+    found = parts.groupBy("dataset").agg(
+        F.count_if(F.col("rest") == F.concat(F.lit("IE/"), F.col("dataset"), F.lit(".txt"))).alias("poses"),
+        F.count_if(F.col("rest").rlike(r"^([^/]+/)?rosbag/")).alias("inside"), F.count_if(bag).alias("bags"))
+    reason = F.when(F.col("poses") == 0, "no pose file").when(F.col("inside") == 0, "no recording folder").when(F.col("bags") == 0, "no recordings")
+    return found.select("dataset", F.when(reason.isNull(), "ready").otherwise("skipped").alias("status"), reason.alias("reason"), "bags")

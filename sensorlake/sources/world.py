@@ -35,6 +35,15 @@ def read_records(spark: SparkSession, path: str, strict: bool = False, array: bo
     return spark.read.schema(RECORD).option("mode", "DROPMALFORMED").option("multiLine", array).json(path).where("timestamp IS NOT NULL")
 
 
+def plotted_track(records: DataFrame, field: str = "target_world_enu_m", group: int = 0, least: int = 2) -> DataFrame:
+    """(ts, elapsed, a, b, c) of one vector field of a group, for a plot; an error if fewer than `least` rows have it."""
+    each = records.select("timestamp", F.explode("aruco_group_targets").alias("g")).where((F.col("g.target_group_index") == group) & (F.size(F.col(f"g.{field}")) >= 3))
+    start = each.agg(F.min("timestamp").alias("start"), F.count("*").alias("n")).first()
+    if start.n < least:
+        raise ValueError(f"{start.n} rows with {field}")
+    return each.select(F.col("timestamp").alias("ts"), (F.col("timestamp") - start.start).alias("elapsed"), *[F.col(f"g.{field}")[i].alias(n) for i, n in enumerate("abc")])
+
+
 def group_points(records: DataFrame) -> DataFrame:
     """One row per record and group with an ENU position."""
     each = records.select("timestamp", F.explode("aruco_group_targets").alias("g")).where("g.target_world_enu_m IS NOT NULL")

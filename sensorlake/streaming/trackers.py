@@ -1,4 +1,4 @@
-"""The single-target tracker over a stream of frames, with the same step function as in batch."""
+"""The trackers over a stream of frames, with the same step functions as in batch."""
 
 from __future__ import annotations
 
@@ -12,24 +12,26 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from sensorlake.config import Tracker
 from sensorlake.functions.records import epoch
-from sensorlake.operators.trackers import SINGLE_SCHEMA, Single, single_rows
+from sensorlake.operators.trackers import MULTI_SCHEMA, SINGLE_SCHEMA, Multi, Single, multi_rows, single_rows
 from sensorlake.scratch import scratch_path
 
 
-def track_stream(candidates: DataFrame, key: str, cfg: Tracker = Tracker()) -> DataFrame:
-    """States per key and frame of a stream candidates(key, ts, candidate_id, x, y, z, score).  Rows of a key have
-    to arrive in time order from batch to batch; inside a batch they are sorted."""
+def track_stream(candidates: DataFrame, key: str, cfg: Tracker = Tracker(), many: bool = False) -> DataFrame:
+    """States per key and frame of a stream candidates(key, ts, candidate_id, x, y, z, score): of one target, or with
+    `many` of all confirmed ones.  Rows of a key have to arrive in time order from batch to batch; inside a batch
+    they are sorted."""
     kind = candidates.schema[key].dataType.simpleString()
-    names = [key] + [c.split()[0] for c in SINGLE_SCHEMA.split(", ")]
+    schema, fold, start = (MULTI_SCHEMA, multi_rows, Multi) if many else (SINGLE_SCHEMA, single_rows, Single)
+    names = [key] + [c.split()[0] for c in schema.split(", ")]
 
     def step(keys: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        tracker = pickle.loads(state.get[0]) if state.exists else Single(cfg)
-        rows = single_rows(tracker, pd.concat(list(parts), ignore_index=True))
+        tracker = pickle.loads(state.get[0]) if state.exists else start(cfg)
+        rows = fold(tracker, pd.concat(list(parts), ignore_index=True))
         state.update((pickle.dumps(tracker),))
         yield pd.DataFrame([(keys[0], *r) for r in rows], columns=names)
 
     return candidates.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, {SINGLE_SCHEMA}", "tracker binary", "append", GroupStateTimeout.NoTimeout)
+        step, f"{key} {kind}, {schema}", "tracker binary", "append", GroupStateTimeout.NoTimeout)
 
 
 def single_tracker_over_files(spark: SparkSession, path: str) -> DataFrame:

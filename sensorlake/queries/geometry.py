@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sensorlake.config import Camera
 from sensorlake.functions import geo, projection
 from sensorlake.functions.records import rounded
+from sensorlake.plans import flows
 from sensorlake.queries.base import GEO, VEC, geo_points, query, r, vec
 
 RAD = "e AS (SELECT *, radians(lat) AS la, radians(lon) AS lo FROM g), n AS (SELECT *, 6378137.0 / sqrt(1.0 - 6.69437999014e-3 * sin(la) * sin(la)) AS n FROM e)"
@@ -90,7 +91,13 @@ def world_solution(spark, sf_dir):
     return c.select("id", *rounded(dict(zip("xyz", geo.add(tuple(F.col(v) for v in "xyz"), shift), strict=True)), 3))
 
 
-@query()
+INVERSE = [" + ".join(f"({RS[i][j]!r}) * (w{i} - ({TS[i]!r}))" for i in range(3)) for j in range(3)]
+ROUND_TRIP = (f"WITH {VEC}, l AS (SELECT label, x AS l0, y AS l1, z AS l2 FROM vec), w AS (SELECT *, -(-({BODY['right']})) AS w0, {BODY['fwd']} AS w1, {BODY['up']} AS w2 FROM l), "
+              f"d AS (SELECT label, ({INVERSE[0]}) - l0 AS d0, ({INVERSE[1]}) - l1 AS d1, ({INVERSE[2]}) - l2 AS d2 FROM w) "
+              f"SELECT label, {r('max(sqrt(d0 * d0 + d1 * d1 + d2 * d2))', 3)} AS gap, count(*) AS n FROM d GROUP BY label")
+
+
+@query(ROUND_TRIP)
 def body_round_trip(spark, sf_dir):
     """Largest deviation of lidar -> body -> lidar, by label."""
     v = tuple(F.col(c) for c in "xyz")
@@ -117,8 +124,8 @@ FISH = (f"{FRONT}, q AS (SELECT *, sqrt(a * a + b * b) AS r, atan(sqrt(a * a + b
 
 
 def _fisheye(spark, sf_dir):
-    u, v = projection.fisheye(F.col("x"), F.col("y"), F.col("z") + 3, CAM)
-    return vec(spark, sf_dir).select("id", u.alias("u"), v.alias("v")).where("u IS NOT NULL")
+    seen = projection.with_fisheye(vec(spark, sf_dir), (F.col("x"), F.col("y"), F.col("z") + 3), ("u", "v"), CAM)
+    return seen.select("id", "u", "v").where("u IS NOT NULL")
 
 
 @query(f"WITH {VEC}, {FISH} SELECT id, {_rounded_sql({'u': 'u', 'v': 'v'})} FROM px")
@@ -139,7 +146,37 @@ def rodrigues(spark, sf_dir):
     return vec(spark, sf_dir).select("id", *rounded({"r00": m[0][0], "r01": m[0][1], "r12": m[1][2]}))
 
 
-@query()
+def _carry(i: str, source: str, here: list[str], there: list[str]) -> str:
+    """SQL that carries v0, v1, v2 of source from pose to pose; the result is the table out<i>."""
+    pose = lambda p: f"radians({p[3]}) AS r, radians({p[4]}) AS p, radians({p[5]}) AS k, radians({p[0]}) AS la, radians({p[1]}) AS lo, {p[2]} AS hh"
+    keep = "id, lat, lon, h, o0, o1, o2"
+    n = "6378137.0 / sqrt(1.0 - 6.69437999014e-3 * sin(la) * sin(la))"
+    ecef = ["(n + hh) * cos(la) * cos(lo)", "(n + hh) * cos(la) * sin(lo)", "(n * (1.0 - 6.69437999014e-3) + hh) * sin(la)"]
+    enu = [["-sin(lo)", "cos(lo)", "0.0"], ["-sin(la) * cos(lo)", "-sin(la) * sin(lo)", "cos(la)"], ["cos(la) * cos(lo)", "cos(la) * sin(lo)", "sin(la)"]]
+    dot = lambda row, names: " + ".join(f"({m}) * {v}" for m, v in zip(row, names, strict=True))
+    column = lambda m, j: [row[j] for row in m]
+    att = [[M[f"m{a}{b}"] for b in range(3)] for a in range(3)]
+    body = {axis: text.replace("l0", "v0").replace("l1", "v1").replace("l2", "v2") for axis, text in BODY.items()}
+    listed = lambda exprs, name: ", ".join(f"{e} AS {name}{j}" for j, e in enumerate(exprs))
+    return ", ".join([
+        f"a{i} AS (SELECT {keep}, v0, v1, v2, {pose(here)} FROM {source})",
+        f"b{i} AS (SELECT *, {n} AS n, {body['fwd']} AS f0, -({body['right']}) AS f1, {body['up']} AS f2 FROM a{i})",
+        f"c{i} AS (SELECT *, {listed([dot(row, ('f0', 'f1', 'f2')) for row in att], 'e')} FROM b{i})",
+        f"d{i} AS (SELECT {keep}, {listed([f'{x} + ' + dot(column(enu, j), ('e0', 'e1', 'e2')) for j, x in enumerate(ecef)], 'x')} FROM c{i})",
+        f"t{i} AS (SELECT *, {pose(there)} FROM d{i})", f"u{i} AS (SELECT *, {n} AS n FROM t{i})",
+        f"g{i} AS (SELECT *, {listed([f'x{j} - ({x})' for j, x in enumerate(ecef)], 'g')} FROM u{i})",
+        f"y{i} AS (SELECT *, {listed([dot(row, ('g0', 'g1', 'g2')) for row in enu], 'e')} FROM g{i})",
+        f"z{i} AS (SELECT *, {listed([dot(column(att, j), ('e0', 'e1', 'e2')) for j in range(3)], 'f')} FROM y{i})",
+        f"s{i} AS (SELECT *, -f1 AS w0, f0 AS w1, f2 AS w2 FROM z{i})", f"out{i} AS (SELECT {keep}, {listed(INVERSE, 'v')} FROM s{i})"])
+
+
+HERE = ["lat", "lon", "h", "lat / 40", "lat / 80", "lon"]
+THERE = ["lat + 1e-5", "lon - 1e-5", "h + 1", "lat / 50", "lat / 90", "lon + 5"]
+START = "v AS (SELECT *, o0 AS v0, o1 AS v1, o2 AS v2 FROM (SELECT *, CAST(id % 7 AS DOUBLE) AS o0, CAST(id % 5 - 2 AS DOUBLE) AS o1, CAST(id % 3 AS DOUBLE) AS o2 FROM g))"
+
+
+@query(f"WITH {GEO}, {START}, {_carry('1', 'v', HERE, THERE)}, {_carry('2', 'out1', THERE, HERE)} "
+       f"SELECT id % 10 AS label, {r('max(sqrt((v0 - o0) * (v0 - o0) + (v1 - o1) * (v1 - o1) + (v2 - o2) * (v2 - o2)))', 2)} AS gap, count(*) AS n FROM out2 GROUP BY 1")
 def between_poses(spark, sf_dir):
     """Points carried from one pose to another and back; gap is the largest deviation by label."""
     g = geo_points(spark, sf_dir)
@@ -147,10 +184,10 @@ def between_poses(spark, sf_dir):
     here = (F.col("lat"), F.col("lon"), F.col("h"), F.col("lat") / 40, F.col("lat") / 80, F.col("lon"))
     there = (F.col("lat") + 1e-5, F.col("lon") - 1e-5, F.col("h") + 1, F.col("lat") / 50, F.col("lat") / 90, F.col("lon") + 5)
     v = ((k % 7).cast("double"), (k % 5 - 2).cast("double"), (k % 3).cast("double"))
-    moved = g.select("*", *[c.alias(f"m{i}") for i, c in enumerate(geo.between_poses(v, here, there))])
-    back = geo.between_poses(tuple(F.col(f"m{i}") for i in range(3)), there, here)
-    gap = geo.norm3(*[a - b for a, b in zip(back, v, strict=True)])
-    return moved.groupBy((k % 10).alias("label")).agg(F.max(F.bround(gap, 2)).alias("gap"), F.count("*").alias("n"))
+    moved = geo.with_between_poses(g, v, here, there, ("m0", "m1", "m2"))
+    back = geo.with_between_poses(moved, tuple(F.col(f"m{i}") for i in range(3)), there, here, ("b0", "b1", "b2"))
+    gap = geo.norm3(*[F.col(f"b{i}") - c for i, c in enumerate(v)])
+    return back.groupBy((k % 10).alias("label")).agg(F.max(F.bround(gap, 2)).alias("gap"), F.count("*").alias("n"))
 
 
 @query(f"WITH {VEC}, {FRONT}, {FISH[len(FRONT) + 2:]} SELECT id, {r('f.a', 5)} AS x, {r('f.b', 5)} AS y FROM px JOIN f USING (id) WHERE f.a * f.a + f.b * f.b < 4")
@@ -158,12 +195,23 @@ def fisheye_undistort(spark, sf_dir):
     """Pixels back to normalised coordinates, where the rays are less than 63 degrees off the axis."""
     x, y, z = F.col("x"), F.col("y"), F.col("z") + 3
     v = vec(spark, sf_dir).where((z > 0) & ((x / z) * (x / z) + (y / z) * (y / z) < 4))
-    u, w = projection.fisheye(x, y, z, CAM)
-    ray = projection.undistorted(CAM)(u, w)
-    return v.select("id", ray.alias("ray")).select("id", *rounded({"x": F.col("ray.x"), "y": F.col("ray.y")}, 5))
+    ray = projection.undistorted(CAM)(F.col("u"), F.col("w"))
+    return projection.with_fisheye(v, (x, y, z), ("u", "w"), CAM).select("id", ray.alias("ray")).select("id", *rounded({"x": F.col("ray.x"), "y": F.col("ray.y")}, 5))
 
 
 @query(f"WITH {VEC} SELECT id, " + ", ".join(f"{r(' + '.join(f'({CAM.r_lidar_camera[j][i]!r}) * ({axis} - ({CAM.t_lidar_camera[j]!r}))' for j, axis in enumerate('xyz')))} AS c{i}" for i in range(3)) + " FROM vec")
 def lidar_to_camera(spark, sf_dir):
     c = projection.lidar_to_camera((F.col("x"), F.col("y"), F.col("z")), CAM)
     return vec(spark, sf_dir).select("id", *rounded({f"c{i}": v for i, v in enumerate(c)}))
+
+
+@query(f"WITH {VEC}, {FRONT}, m AS (SELECT vec.id AS id, x, y, z, 22.3 AS la0, 114.17 AS lo0 FROM vec), o AS (SELECT *, radians(la0) AS la, radians(lo0) AS lo, 6378137.0 / sqrt(1.0 - 6.69437999014e-3 * sin(radians(la0)) * sin(radians(la0))) AS n FROM m), "
+       "c AS (SELECT id, (n + 10.0) * cos(la) * cos(lo) + (-sin(lo) * x + -sin(la) * cos(lo) * y + cos(la) * cos(lo) * z) AS x, (n + 10.0) * cos(la) * sin(lo) + (cos(lo) * x + -sin(la) * sin(lo) * y + cos(la) * sin(lo) * z) AS y, "
+       f"(n * (1.0 - 6.69437999014e-3) + 10.0) * sin(la) + (0.0 * x + cos(la) * y + sin(la) * z) AS z FROM o), {STEPS} "
+       f"SELECT id, {r('degrees(b)', 7)} AS lat, {r('degrees(atan2(y, x))', 7)} AS lon, {r('p / greatest(cos(b), 1e-12) - 6378137.0 / sqrt(1.0 - 6.69437999014e-3 * sin(b) * sin(b))', 3)} AS height FROM q6")
+def filled_world(spark, sf_dir):
+    """Local positions, as gap filling gives them, back to geodetic ones about the first pose."""
+    poses = spark.createDataFrame([(0.0, 22.3, 114.17, 10.0)], "ts double, latitude_deg double, longitude_deg double, height_m double")
+    local = vec(spark, sf_dir).select("id", F.col("x").alias("e"), F.col("y").alias("n"), F.col("z").alias("u"))
+    out = flows.placed(local, poses)
+    return out.select("id", *rounded({"lat": F.col("lat"), "lon": F.col("lon")}, 7), *rounded({"height": F.col("height")}, 3))

@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from sensorlake.config import Clustering, EgoBox, Ground, LocalRoi, Motion, Person, Roi, Tracker
 from sensorlake.functions.geo import norm2
 from sensorlake.functions.records import canvas, candidate_key, height_colour, rounded
-from sensorlake.operators import cluster, filters, ground, segments, spatial, trackers
+from sensorlake.operators import cluster, filters, ground, markers, segments, spatial, trackers
 from sensorlake.queries.base import PTS, VEC, pts, query, r, vec
 
 KEEP = ["frame", "point_index", "x", "y", "z"]
 XYZ = f"{r('x')} AS x, {r('y')} AS y, {r('z')} AS z"
 #: Clearances between the two decimals of the stand-in heights, so that no comparison is a tie.
-GRID = Ground(cell=1.0, clearance=0.0703, fallback_clearance=0.1103)
+GRID = Ground(cell=1.0, clearance=0.0703, fallback_clearance=0.1103, z=(float("-inf"), float("inf")))
 WIDE = Clustering(tolerance=0.45, min_points=1, max_points=5000)
 PERSON = Person(min_points=2, height=(0.01, 6.0), width=(0.01, 6.0), depth=(0.0, 6.0))
 
@@ -51,14 +51,17 @@ def z_threshold(spark, sf_dir):
     return _points(ground.remove_ground(pts(spark, sf_dir), "frame", "point_index", Ground(method="z_threshold")))
 
 
-@query(f"WITH {PTS}, q AS (SELECT CAST(s_suppkey % 9 - 4 AS DOUBLE) AS rx, CAST(s_suppkey % 17 - 8 AS DOUBLE) AS ry, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 3 AS DOUBLE) END AS rz FROM supplier WHERE s_suppkey < 12) "
+@query(f"WITH {PTS}, q AS (SELECT CAST(s_suppkey % 9 - 4 AS DOUBLE) AS rx, CAST(s_suppkey % 17 - 8 AS DOUBLE) AS ry, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 3 AS DOUBLE) END AS rz FROM supplier) "
        f"SELECT frame, point_index, {XYZ} FROM pts WHERE EXISTS (SELECT 1 FROM q WHERE (x - rx) * (x - rx) + (y - ry) * (y - ry) <= 0.6 * 0.6 AND (rz IS NULL OR z <= rz + 0.7))")
 def protect_regions(spark, sf_dir):
+    return _points(filters.protected(pts(spark, sf_dir), _regions(spark, sf_dir)))
+
+
+def _regions(spark, sf_dir):
     k = F.col("s_suppkey")
-    regions = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
+    return spark.read.parquet(f"{sf_dir}/supplier.parquet").select(
         (k % 9 - 4).cast("double").alias("x"), (k % 17 - 8).cast("double").alias("y"), F.when(k % 3 > 0, (k % 3).cast("double")).alias("z"),
         F.lit(0.6).alias("radius_m"), F.lit(0.7).alias("z_margin_m"))
-    return _points(filters.protected(pts(spark, sf_dir), regions))
 
 
 STAGES = f"count(*) AS point_count_raw, count(*) FILTER (WHERE {ANNULUS}) AS after_roi, count(*) FILTER (WHERE {ANNULUS} AND z > 0.12) AS after_ground"
@@ -106,6 +109,25 @@ def ground_adaptive_grid(spark, sf_dir):
     return _points(ground.remove_ground(pts(spark, sf_dir), "frame", "point_index", GRID))
 
 
+GATED = CELLS.replace("FROM pts)", "FROM pts WHERE z BETWEEN 0.31 AND 2.05)", 1)
+
+
+@query(f"WITH {GATED}, q AS (SELECT CAST(s_suppkey % 9 - 4 AS DOUBLE) AS rx, CAST(s_suppkey % 17 - 8 AS DOUBLE) AS ry, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_suppkey % 3 AS DOUBLE) END AS rz FROM supplier) "
+       f"SELECT frame, point_index, {XYZ} FROM k JOIN cells USING (frame, gx, gy) WHERE z > ground + clearance OR EXISTS (SELECT 1 FROM q WHERE (x - rx) * (x - rx) + (y - ry) * (y - ry) <= 0.6 * 0.6 AND (rz IS NULL OR z <= rz + 0.7))")
+def ground_gated_grid(spark, sf_dir):
+    """Height gate, then the grid method with protected regions."""
+    return _points(ground.remove_ground(pts(spark, sf_dir), "frame", "point_index", replace(GRID, z=(0.31, 2.05)), _regions(spark, sf_dir)))
+
+
+@query(f"WITH {PTS}, s AS (SELECT n_nationkey AS frame, n_regionkey - 2.0 AS sx, n_regionkey - 1.0 AS sy FROM nation) SELECT frame, point_index, {XYZ} FROM pts LEFT JOIN s USING (frame) "
+       "WHERE sx IS NULL OR (x BETWEEN sx - 2.5 AND sx + 2.5 AND y BETWEEN sy - 2.5 AND sy + 2.5)")
+def crop_state(spark, sf_dir):
+    """Nations as the frames that have a state."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    states = n.select(F.col("n_nationkey").alias("frame"), (F.col("n_regionkey") - 2.0).alias("x"), (F.col("n_regionkey") - 1.0).alias("y"))
+    return _points(filters.crop_around(pts(spark, sf_dir), states, "frame"))
+
+
 @query()
 def ground_adaptive_plane(spark, sf_dir):
     return _points(ground.remove_ground(pts(spark, sf_dir), "frame", "point_index", replace(GRID, method="adaptive_plane")))
@@ -190,7 +212,7 @@ def cluster_merge(spark, sf_dir):
 
 GATE = 0.8
 TRACKS = "t AS (SELECT frame, id AS track_id, x + 0.25 AS tx, y - 0.25 AS ty, z AS tz FROM vec WHERE id % 5 = 0), cand AS (SELECT frame, id AS candidate_id, x, y, z, label FROM vec WHERE id % 5 <> 0)"
-GATED = f"p AS (SELECT *, sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) AS distance FROM cand JOIN t USING (frame) WHERE sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) <= {GATE})"
+GATED_PAIRS = f"p AS (SELECT *, sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) AS distance FROM cand JOIN t USING (frame) WHERE sqrt((x - tx) * (x - tx) + (y - ty) * (y - ty)) <= {GATE})"
 
 
 def _gated(spark, sf_dir):
@@ -200,12 +222,12 @@ def _gated(spark, sf_dir):
     return spatial.gated_pairs(cand, tracks, "frame", GATE)
 
 
-@query(f"WITH {VEC}, {TRACKS}, {GATED} SELECT frame, candidate_id, track_id, {r('distance')} AS distance FROM p")
+@query(f"WITH {VEC}, {TRACKS}, {GATED_PAIRS} SELECT frame, candidate_id, track_id, {r('distance')} AS distance FROM p")
 def gated_pairs(spark, sf_dir):
     return _gated(spark, sf_dir).select("frame", "candidate_id", "track_id", *rounded({"distance": F.col("distance")}))
 
 
-@query(f"WITH {VEC}, {TRACKS}, {GATED} SELECT frame, track_id, first(candidate_id ORDER BY distance, candidate_id) AS candidate_id FROM p GROUP BY frame, track_id")
+@query(f"WITH {VEC}, {TRACKS}, {GATED_PAIRS} SELECT frame, track_id, first(candidate_id ORDER BY distance, candidate_id) AS candidate_id FROM p GROUP BY frame, track_id")
 def nearest_in_gate(spark, sf_dir):
     return _gated(spark, sf_dir).groupBy("frame", "track_id").agg(F.min_by("candidate_id", F.struct("distance", "candidate_id")).alias("candidate_id"))
 
@@ -213,17 +235,22 @@ def nearest_in_gate(spark, sf_dir):
 COMBINED = "0.55 * exp(-0.5 * pow(distance / 0.95, 2.0)) + 0.25 * exp(-0.5 * pow(abs(z) / 0.5, 2.0)) + 0.20 * (label / 10.0)"
 
 
-@query(f"WITH {VEC}, {TRACKS}, {GATED}, m AS (SELECT *, {COMBINED} AS combined FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY combined DESC, candidate_id) AS k FROM m) SELECT track_id, candidate_id, {r('combined')} AS combined FROM n WHERE k = 1 AND combined >= 0.03")
+@query(f"WITH {VEC}, {TRACKS}, {GATED_PAIRS}, m AS (SELECT *, {COMBINED} AS combined FROM p), n AS (SELECT *, row_number() OVER (PARTITION BY track_id ORDER BY combined DESC, candidate_id) AS k FROM m) SELECT track_id, candidate_id, {r('combined')} AS combined FROM n WHERE k = 1 AND combined >= 0.03")
 def prior_weighted_pick(spark, sf_dir):
     p = _gated(spark, sf_dir).withColumn("residual", F.abs("z")).withColumn("score", F.col("label") / 10.0)
     return trackers.weighted_pick(p, "track_id").select("track_id", "candidate_id", *rounded({"combined": F.col("combined")}))
 
 
-@query()
+# Greedy matching one pair after the other, by rising distance.
+@query(f"WITH RECURSIVE {VEC}, {TRACKS}, {GATED_PAIRS}, o AS (SELECT frame, candidate_id, track_id, distance, row_number() OVER (PARTITION BY frame ORDER BY distance, candidate_id, track_id) AS k FROM p), "
+       "g(frame, k, cs, ts) AS (SELECT DISTINCT frame, CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) FROM o UNION ALL "
+       "SELECT o.frame, o.k, CASE WHEN list_contains(cs, candidate_id) OR list_contains(ts, track_id) THEN cs ELSE list_append(cs, candidate_id) END, "
+       "CASE WHEN list_contains(cs, candidate_id) OR list_contains(ts, track_id) THEN ts ELSE list_append(ts, track_id) END FROM g JOIN o ON o.frame = g.frame AND o.k = g.k + 1) "
+       "SELECT o.frame, candidate_id, track_id, distance FROM g JOIN o ON o.frame = g.frame AND o.k = g.k + 1 WHERE NOT list_contains(cs, candidate_id) AND NOT list_contains(ts, track_id)".replace("distance FROM g", r("distance") + " AS distance FROM g"))
 def greedy_match(spark, sf_dir):
     p = _gated(spark, sf_dir).select("frame", "candidate_id", "track_id", "distance")
     run = lambda pdf: spatial.greedy_matches(pdf)
-    return p.groupBy("frame").applyInPandas(run, p.schema)
+    return p.groupBy("frame").applyInPandas(run, p.schema).select("frame", "candidate_id", "track_id", *rounded({"distance": F.col("distance")}))
 
 
 @query(f"WITH {PTS}, m AS (SELECT frame, median(x) AS mx, median(y) AS my, median(z) AS mz, count(*) AS n FROM pts GROUP BY frame), "
@@ -233,13 +260,13 @@ def outlier_sigma(spark, sf_dir):
     return _points(filters.outliers_removed(pts(spark, sf_dir), "frame"))
 
 
-@query(f"WITH {PTS}, c AS (SELECT DISTINCT frame, CAST(frame % 7 - 3 AS DOUBLE) AS cx, CAST(frame % 5 - 2 AS DOUBLE) AS cy, CAST(0 AS DOUBLE) AS cz FROM pts WHERE frame % 10 < 8), "
+@query(f"WITH {PTS}, c AS (SELECT n_nationkey AS frame, CAST(n_nationkey % 7 - 3 AS DOUBLE) AS cx, CAST(n_nationkey % 5 - 2 AS DOUBLE) AS cy, CAST(0 AS DOUBLE) AS cz FROM nation), "
        "n AS (SELECT p.*, cx IS NULL OR (x BETWEEN cx - 3.2 AND cx + 3.2 AND y BETWEEN cy - 2.8 AND cy + 2.8 AND z BETWEEN cz - 1.2 AND cz + 1.8) AS near FROM pts p LEFT JOIN c USING (frame)), "
        f"k AS (SELECT frame, count(*) FILTER (WHERE near) AS kept FROM n GROUP BY frame) SELECT frame, point_index, {XYZ} FROM n JOIN k USING (frame) WHERE near OR kept < 180")
 def local_roi(spark, sf_dir):
-    p = pts(spark, sf_dir)
-    centers = p.where("frame % 10 < 8").select("frame").distinct().select("frame", (F.col("frame") % 7 - 3.0).alias("x"), (F.col("frame") % 5 - 2.0).alias("y"), F.lit(0.0).alias("z"))
-    return _points(filters.local_roi(p, centers, "frame", LocalRoi()))
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_nationkey").cast("long").alias("frame"))  # half of the frames have a centre
+    centers = nation.select("frame", (F.col("frame") % 7 - 3.0).alias("x"), (F.col("frame") % 5 - 2.0).alias("y"), F.lit(0.0).alias("z"))
+    return _points(filters.local_roi(pts(spark, sf_dir), centers, "frame", LocalRoi()))
 
 
 LIMITS = ("l AS (SELECT *, id % 3 > 0 AS mk, id % 4 AS rc, id % 6 = 0 AS rs FROM vec), lim AS (SELECT *, CASE WHEN rs AND mk THEN 1.4 WHEN mk AND rc >= 2 THEN 1.4 WHEN mk THEN 1.5 ELSE 0.8 END AS foot_z, "
@@ -269,13 +296,25 @@ def motion_reject_reason(spark, sf_dir):
     return v.select("id", reason.alias("reason"))
 
 
-@query()
+#: Edges of convex hulls in SQL: pairs of a group's points with all others on the left.
+def _hull_sql(points: str, keys: str) -> str:
+    same = lambda a, b: " AND ".join(f"{a}.{k} = {b}.{k}" for k in keys.split(", "))
+    own = ", ".join(f"a.{k}" for k in keys.split(", "))
+    return (f"hp AS (SELECT DISTINCT {keys}, u, v FROM {points}), he AS (SELECT {own}, a.u AS au, a.v AS av, b.u AS bu, b.v AS bv FROM hp a JOIN hp b ON {same('a', 'b')} AND (a.u <> b.u OR a.v <> b.v) "
+            f"JOIN hp c ON {same('a', 'c')} GROUP BY {own}, a.u, a.v, b.u, b.v HAVING min((b.u - a.u) * (c.v - a.v) - (b.v - a.v) * (c.u - a.u)) >= 0)")
+
+
+@query(f"WITH {VEC}, hv AS (SELECT label, x * 100 AS u, y * 100 AS v FROM vec), {_hull_sql('hv', 'label')} "
+       f"SELECT label, CAST(count(*) AS INTEGER) AS vertices, {r('0.5 * abs(sum(au * bv - av * bu))', 3)} AS area FROM he GROUP BY label")
 def hull_area(spark, sf_dir):
     v = vec(spark, sf_dir).select("label", (F.col("x") * 100).alias("u"), (F.col("y") * 100).alias("v"))
     return spatial.hulls(v, ["label"]).select("label", F.size("hull").alias("vertices"), *rounded({"area": F.col("area")}, 3))
 
 
-@query()
+@query(f"WITH {VEC}, hv AS (SELECT frame, id, label AS group_index, x * 100 AS u, y * 100 AS v FROM vec), {_hull_sql('hv', 'frame, group_index')}, "
+       "box AS (SELECT frame, group_index, min(au) AS x0, max(au) AS x1, min(av) AS y0, max(av) AS y1, count(*) AS n FROM he GROUP BY frame, group_index) "
+       "SELECT p.frame, p.id, b.group_index FROM hv p JOIN box b ON b.frame = p.frame AND n > 2 AND u BETWEEN floor(x0) AND ceil(x1) + 1 AND v BETWEEN floor(y0) AND ceil(y1) + 1 "
+       "JOIN he e ON e.frame = b.frame AND e.group_index = b.group_index GROUP BY p.frame, p.id, b.group_index HAVING min((trunc(bu) - trunc(au)) * (trunc(v) - trunc(av)) - (trunc(bv) - trunc(av)) * (trunc(u) - trunc(au))) >= 0")
 def hull_roi(spark, sf_dir):
     v = vec(spark, sf_dir).select("frame", "id", "label", (F.col("x") * 100).alias("u"), (F.col("y") * 100).alias("v"))
     groups = spatial.hulls(v.withColumnRenamed("label", "group_index"), ["frame", "group_index"])
@@ -306,7 +345,10 @@ def height_color(spark, sf_dir):
     return pts(spark, sf_dir).withColumn("c", c).select("frame", "point_index", "c.b", "c.g", "c.r")
 
 
-@query()
+KEY = lambda *exprs: "'[' || " + " || ', ' || ".join(f"CAST(round_even({e}, 3) AS VARCHAR)" for e in exprs) + " || ']'"
+
+
+@query(f"WITH {VEC} SELECT id, {KEY('x', 'y', 'z')} || '|' || {KEY('abs(x)', 'abs(y)', 'abs(z)')} AS key FROM vec")
 def candidate_keys(spark, sf_dir):
     v = vec(spark, sf_dir)
     return v.select("id", candidate_key(tuple(F.col(c) for c in "xyz"), (F.abs("x"), F.abs("y"), F.abs("z"))).alias("key"))
@@ -330,7 +372,13 @@ def semantic_segments(spark, sf_dir):
     return segments.semantic(*_masks(spark, sf_dir), "image").select("image", "pixel", *rounded({"score": F.col("score")}, 4))
 
 
-@query()
+@query(f"WITH {MASKS}, best AS (SELECT image, query, class_id, p FROM classes QUALIFY row_number() OVER (PARTITION BY image, query ORDER BY p DESC, class_id) = 1 AND p > 0.5), "
+       "s AS (SELECT m.image, m.query, pixel, m, class_id, p * m AS w FROM masks m JOIN best b ON b.image = m.image AND b.query = m.query), "
+       "area AS (SELECT image, query, count(*) AS area FROM s WHERE m >= 0.5 GROUP BY ALL), "
+       "won AS (SELECT * FROM (SELECT image, pixel, query, class_id, m FROM s QUALIFY row_number() OVER (PARTITION BY image, pixel ORDER BY w DESC, query) = 1) WHERE m >= 0.5), "
+       "kept AS (SELECT image, query, class_id, CASE WHEN class_id IN (0, 1) THEN query ELSE -1 END AS unit FROM won JOIN area USING (image, query) GROUP BY image, query, class_id, area HAVING count(*) >= 0.1 * area), "
+       "ids AS (SELECT image, class_id, unit, CAST(row_number() OVER (PARTITION BY image ORDER BY min(query)) AS INTEGER) AS segment FROM kept GROUP BY image, class_id, unit) "
+       "SELECT won.image, pixel, segment, won.class_id FROM won JOIN kept ON kept.image = won.image AND kept.query = won.query JOIN ids ON ids.image = kept.image AND ids.class_id = kept.class_id AND ids.unit = kept.unit")
 def panoptic_segments(spark, sf_dir):
     return segments.panoptic(*_masks(spark, sf_dir), "image", 0.5, 0.1, (0, 1))
 
@@ -341,3 +389,21 @@ def panoptic_segments(spark, sf_dir):
        f"SELECT image, query, class_id, {r('p * coalesce(q, 0)', 4)} AS score FROM t JOIN q USING (image, query) WHERE n <= 12")
 def instance_segments(spark, sf_dir):
     return segments.instances(*_masks(spark, sf_dir), "image", 12).select("image", "query", "class_id", *rounded({"score": F.col("score")}, 4))
+
+
+@query(f"WITH {VEC}, ids AS (SELECT p_size, dense_rank() OVER (ORDER BY p_size) - 1 AS n FROM (SELECT DISTINCT p_size FROM part)) SELECT id, n AS category_id FROM vec JOIN ids ON p_size = label * 5")
+def category_remap(spark, sf_dir):
+    """Part sizes as a registry of category ids."""
+    registry = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_size").alias("id"))
+    return segments.remap_categories(vec(spark, sf_dir).select("id", (F.col("label") * 5).alias("category_id")), registry).select("id", F.col("category_id").cast("long").alias("category_id"))
+
+
+@query("WITH t AS (SELECT l_orderkey % 50 AS frame, l_orderkey, list(l_suppkey ORDER BY l_linenumber, l_suppkey) AS ids FROM lineitem GROUP BY ALL), e AS (SELECT frame, l_orderkey, unnest(ids) AS id, generate_subscripts(ids, 1) AS i FROM t), "
+       "f AS (SELECT frame, id, row_number() OVER (PARTITION BY frame ORDER BY l_orderkey, i) AS k FROM e), d AS (SELECT frame, id, min(k) AS k FROM f GROUP BY frame, id) SELECT frame, string_agg(id, ',' ORDER BY k) AS ids FROM d GROUP BY frame")
+def distinct_ids(spark, sf_dir):
+    """Orders as groups of supplier ids, frame by frame."""
+    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    one = F.transform(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_suppkey"))), lambda s: s["l_suppkey"])
+    groups = items.groupBy((F.col("l_orderkey") % 50).alias("frame"), "l_orderkey").agg(one.alias("g"))
+    listed = groups.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "g"))).alias("gs"))
+    return listed.select("frame", F.array_join(markers.distinct_ids(F.transform("gs", lambda s: s["g"])), ",").alias("ids"))

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sensorlake.config import TARGET_GROUPS
-from sensorlake.functions.records import group_label, iso_utc, kml_coordinate, palette, rounded
+from sensorlake.functions.records import frame_name, group_label, iso_utc, iso_zoned, kml_coordinate, palette, rounded
 from sensorlake.operators import filters, markers, timejoin, trackers, trajectory
 from sensorlake.queries.base import SERIES, query, r, series, table
+from sensorlake.sources import sinks
 
 WIDTH = 6 * 3600.0
 LIDAR, CAMERA = "event_type IN ('view', 'purchase')", "event_type IN ('click')"
@@ -297,10 +298,10 @@ def downsample_stride(spark, sf_dir):
     return trajectory.downsample(series(spark, sf_dir), "user_id", ["ts", "event_id"], 20).select("event_id")
 
 
-@query(f"WITH {SERIES}, t AS (SELECT min(ts) - 5.0 AS lo, max(ts) + 5.0 AS hi FROM s WHERE user_id % 10 = 3 AND event_type = 'click') SELECT event_id FROM s, t WHERE ts BETWEEN lo AND hi AND event_type = 'view'")
+@query(f"WITH {SERIES}, t AS (SELECT min(ts) - 5.0 AS lo, max(ts) + 5.0 AS hi FROM s WHERE event_type = 'error') SELECT event_id FROM s, t WHERE ts BETWEEN lo AND hi AND event_type = 'view'")
 def clip_range(spark, sf_dir):
     s = series(spark, sf_dir)
-    return filters.clip_to(s.where("event_type = 'view'"), s.where("user_id % 10 = 3 AND event_type = 'click'"), "ts").select("event_id")
+    return filters.clip_to(s.where("event_type = 'view'"), s.where("event_type = 'error'"), "ts").select("event_id")
 
 
 @query("WITH w AS (SELECT epoch_us(ts) / 1e6 AS t, event_id % 3 AS g, value AS lat, value + 1 AS lon, value * 2 AS height FROM events) SELECT t AS utc_seconds, "
@@ -352,3 +353,18 @@ def stream_tracker(spark, sf_dir):
     from sensorlake.streaming.trackers import single_tracker_over_files
 
     return single_tracker_over_files(spark, f"{sf_dir}/events.parquet")
+
+
+@query("SELECT event_id, CASE WHEN epoch_us(ts) % 1000000 = 0 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S') ELSE strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END || '+00:00' AS iso, printf('frame_%06d_%d.%03d', event_id, (epoch_us(ts) + 500) // 1000 // 1000, (epoch_us(ts) + 500) // 1000 % 1000) AS name FROM events")
+def zoned_names(spark, sf_dir):
+    """ISO times with their offset and frame file names."""
+    return series(spark, sf_dir).select("event_id", iso_zoned(F.col("ts")).alias("iso"), frame_name(F.col("event_id"), F.col("ts")).alias("name"))
+
+
+@query(f"WITH {SERIES}, o AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS k FROM s), l AS (SELECT 1 AS section, event_id, CASE WHEN k = 1 THEN '' ELSE ',' END || '{{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}}' AS value FROM o) "
+       "SELECT * FROM l UNION ALL VALUES (0, NULL, '['), (2, NULL, ']')")
+def json_array(spark, sf_dir):
+    """Events as the lines of one JSON array in time order."""
+    lines = sinks.json_array_lines(series(spark, sf_dir).select("ts", "event_id", "event_type"), ["ts", "event_id"])
+    short = F.regexp_replace("value", r'\{"ts":[^,]*,', "{")
+    return lines.select("section", "event_id", short.alias("value"))

@@ -278,9 +278,11 @@ class FingerprintIndex:
 
 def exact_copies(docs: DataFrame) -> DataFrame:
     """(doc_id, original): documents whose text equals that of a smaller doc_id."""
-    hashed = docs.select("doc_id", F.md5("text").alias("h"), F.octet_length("text").alias("size")).where("h IS NOT NULL")
-    firsts = hashed.groupBy("h", "size").agg(F.min("doc_id").alias("original"), F.count("*").alias("c")).where("c > 1")
-    return hashed.join(firsts.drop("c"), ["h", "size"]).where("doc_id <> original").select("doc_id", "original")
+    hashed = stored(docs.select("doc_id", F.md5("text").alias("h"), F.octet_length("text").alias("size")).where("h IS NOT NULL"), "text-hashes")
+    firsts = stored(hashed.groupBy("h", "size").agg(F.min("doc_id").alias("original"), F.count("*").alias("c")).where("c > 1"), "first-texts")
+    copies = stored(join_groups(hashed, firsts, ["h", "size"], "c").where("doc_id <> original").select("doc_id", "original"), "copies")
+    forget(hashed, firsts)
+    return copies
 
 
 def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -289,7 +291,7 @@ def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: i
     copies stay out of the index."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
-    copies = stored(exact_copies(docs), "copies")
+    copies = exact_copies(docs)
     edges = docs.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] or []
     index, results = FingerprintIndex(spark, window=window, gram=gram), []
     low = None

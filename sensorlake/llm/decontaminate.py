@@ -16,7 +16,8 @@ sequence of all its words.
 
 Edge cases: null or wordless texts and items match nothing; repeated rows of an item or a document give
 one pair per (doc_id, item_id), where different texts under one id count separately in n and the fuller
-match is reported; rows without id are left out; other columns are not read.
+match is reported; rows without id are left out; an empty benchmark or table gives no pairs; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -137,9 +138,10 @@ def _carried(docs: DataFrame, items: DataFrame, sketch: DataFrame, k: int, num:
     texts: dict[int, list[str]] = {}
     for item, text in items.collect():  # at most MAX_ITEM_BYTES
         texts.setdefault(item, []).append(text)
-    lookup = Lookup(rows, num, den)
+    sent = docs.sparkSession.sparkContext.broadcast((Lookup(rows, num, den), texts))  # bounded by max_sketch and MAX_ITEM_BYTES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, texts = sent.value
         sets = {i: [(n, shingles(t, n)) for t in ts if (n := length_of(t, k))] for i, ts in texts.items()}
         for batch in batches:
             ids, out = batch.column(0), []
@@ -159,21 +161,24 @@ def _carried(docs: DataFrame, items: DataFrame, sketch: DataFrame, k: int, num:
 
 
 def _joined(docs: DataFrame, items: DataFrame, sketch: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    bounds = [(r.k, r.largest) for r in sketch.select("k", "t", F.expr("CASE WHEN t < 0 THEN 1 ELSE 0 END").alias("high"))
-              .groupBy("k").agg(F.max(F.struct("high", "t")).alias("m")).select("k", F.col("m.t").alias("largest")).collect()]  # k rows
+    sized = sketch.select("k", "class", "n", "t", F.expr("CASE WHEN t < 0 THEN 1 ELSE 0 END").alias("high"))
+    sized = sized.groupBy("k", "class").agg(F.max(F.struct("high", "t")).alias("m"), F.min("n").alias("n")).select("k", "class", "n", F.col("m.t").alias("largest"))
+    bounds = [(r.k, r["class"], need(r.n, num, den), r.largest) for r in sized.orderBy("k", "class").collect()]  # k times the logarithm of the largest item
 
     def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for chunk in chunks(batch.column(1)):
                 words = chunk.word_hashes(lower=True)
-                for n, largest in bounds:
-                    grams = sequence_hashes(words, n)
-                    at = np.flatnonzero(grams <= np.array([largest]).view(U64)[0])
+                grams, sizes = {k: sequence_hashes(words, k) for k in {b[0] for b in bounds}}, np.diff(chunk.word_bounds)
+                for k, part, least, largest in bounds:
+                    own = grams[k]
+                    at = np.flatnonzero(own <= np.array([largest]).view(U64)[0])
                     doc = np.searchsorted(chunk.word_bounds, at, side="right") - 1
-                    keep = at + n <= chunk.word_bounds[doc + 1]
+                    keep = (at + k <= chunk.word_bounds[doc + 1]) & (sizes[doc] - k + 1 >= least)
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(signed(grams[at[keep]])), pa.array(ids[chunk.first_row + doc[keep]])], names=["t", "doc_id"])
+                        [pa.array(signed(own[at[keep]])), pa.array(np.full(int(keep.sum()), part)), pa.array(ids[chunk.first_row + doc[keep]])],
+                        names=["t", "class", "doc_id"])
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +191,7 @@ def _joined(docs: DataFrame, items: DataFrame, sketch: DataFrame, k: int, num: i
                     out.append((doc.as_py(), item.as_py(), len(wanted), common))
             yield _emit(out)
 
-    found = docs.mapInArrow(entries, "t long, doc_id long").join(sketch.select("t", "item_id").distinct(), "t")
+    found = docs.mapInArrow(entries, "t long, class long, doc_id long").join(sketch.select("t", "class", "item_id").distinct(), ["t", "class"])
     pairs = found.select("doc_id", "item_id").distinct()
     both = pairs.join(items.withColumnRenamed("text", "passage"), "item_id").join(docs, "doc_id")
     return both.select("doc_id", "item_id", "text", "passage").mapInArrow(verify, PAIR_SCHEMA)

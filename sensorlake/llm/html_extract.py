@@ -10,6 +10,8 @@ differs from page to page near 1.  Extraction leaves out
 * branches whose tag, role, class or id names a menu, header, footer, sidebar, notice, advert or comments,
   but for layout wrappers (see `wrappers`), which are judged by their importance like other branches;
 * branches of importance below `MIN_IMPORTANCE` on at least `MIN_PAGES` pages, inside ``article`` and ``main`` too;
+* inside these, branches whose name is only a hint (promotion, sharing, related, pop-up ...), unless at least
+  `MIN_PAGES` pages show that they vary as much as main text does (importance of `VARIED` and more);
 
 and, on pages with an ``article`` or ``main``, everything outside of it.  If all of an article is low, the host
 serves the same article on most of its pages, which is no box, and it stays.
@@ -18,12 +20,13 @@ serves the same article on most of its pages, which is no box, and it stays.
 main texts of two pages agree in a path with probability `COINCIDENCE`, m pages do with ``COINCIDENCE^(m - 1)``, and
 a path is judged from the m on where that is at most ``1 - CONFIDENCE``.
 
-Statistics are counts by (host, path, hash), so a host with a third of all pages is pre-aggregated; pages
-are joined with their low branches by page, not by host.
+Statistics are counts by (host, path, hash), so a host with a third of all pages is pre-aggregated; the rows of
+its low branches are found by `join_groups`, and pages are joined with these by page, not by host.
 
 Edge cases: null or empty html, or a page without main text, gives an empty text; a null URL belongs to the
-host ''; cut tags at the end are dropped; repeated rows of one page_id share the branches of either;
-copies of a page count once in the statistics; only id, url and html are read.
+host ''; cut tags at the end are dropped; rows of one page_id, also of a null one, share the branches of either;
+copies of a page count once in the statistics; pages of any length are read whole; an empty table gives an empty
+result; only id, url and html are read, whatever other columns there are.
 """
 
 from __future__ import annotations
@@ -40,9 +43,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sensorlake.llm.url_filter import split_url
+from sensorlake.operators.skew import join_groups
 from sensorlake.scratch import stored
 
-MIN_IMPORTANCE, COINCIDENCE, CONFIDENCE = 0.3, 0.2, 0.95
+MIN_IMPORTANCE, COINCIDENCE, CONFIDENCE, VARIED = 0.3, 0.2, 0.95, 0.8
 MIN_PAGES = 1 + math.ceil(math.log(1 - CONFIDENCE) / math.log(COINCIDENCE))
 
 _TAG = re.compile(
@@ -64,8 +68,12 @@ NOISE = frozenset(
     "ad ads adv advert advertisement adverts advertising adslot banner breadcrumb breadcrumbs comment comments commentlist consent "
     "cookie cookies copyright disqus footer gdpr header masthead menu menubar modal nav navbar navigation newsletter notice notices "
     "notification notifications pager pagination popup promo promoted promotion related replies reply search share sharing sidebar "
-    "sidebars signup social sponsor sponsored subscribe subscription toolbar topbar tracking widget widgets alert complementary "
+    "sidebars signup social sponsor sponsored subscribe subscription toolbar topbar widget widgets alert complementary "
     "contentinfo responses".split())
+#: Those of them that name what is never part of an article; inside one, the others are hints that the style tree may overrule.
+SURE = frozenset(
+    "ad ads adv advert advertisement adverts advertising adslot breadcrumb breadcrumbs comment comments commentlist cookie cookies disqus "
+    "footer menu menubar nav navbar navigation notice notices replies reply responses sidebar sidebars contentinfo complementary".split())
 #: Those of them that name lists of other people's or other pages' texts, often marked up as articles.
 LISTS = frozenset("comment comments commentlist disqus related replies reply responses".split())
 
@@ -81,6 +89,12 @@ class Node:
     spared: tuple[int, ...] = ()
     named: Named | None = None
     dropped: bool = False
+    hint: bool = False
+
+    @property
+    def key(self) -> int:
+        """The path's number in the style tree; hinted branches are paths of their own."""
+        return digest(self.path + "?" * self.hint)
 
 
 @dataclass
@@ -214,12 +228,14 @@ def _blocks(page: str, spared: frozenset[int], named: list[Named], all_but_lists
             else:
                 element = Named(m.start(), length, not LISTS.isdisjoint(words))
                 named.append(element)
+        hint = top.hint or (top.main and bool(words) and SURE.isdisjoint(words))
+        words = words & SURE if top.main else words
         dropped = hard or top.dropped
         if inside and not top.main and element is not None and not dropped:
             element.main |= tag == "main" or found.get("role") == "main"
             element.article |= tag == "article" or found.get("role") == "article"
         noise = top.noise or hard or bool(words)
-        stack.append(Node(tag, f"{top.path}>{name}" if tag in BLOCK else top.path, inside, noise, [], top.depth + 1, keeps, element, dropped))
+        stack.append(Node(tag, f"{top.path}>{name}" if tag in BLOCK else top.path, inside, noise, [], top.depth + 1, keeps, element, dropped, hint))
     if text and (found := flush()):
         yield found, owner, tuple(owner.children)
 
@@ -246,11 +262,11 @@ def digest(text: str) -> int:
 
 
 def nodes(pages: DataFrame) -> DataFrame:
-    """(page_id, host, page, path, kind, value): presentations (kind 0) and contents (1) of each page(page_id, host, html)."""
-    names = ["id", "host", "page", "path", "kind", "value"]
+    """(page_id, host, page, path, hint, kind, value): presentations (kind 0) and contents (1) of each page(page_id, host, html)."""
+    names = ["id", "host", "page", "path", "hint", "kind", "value"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, int] = {}
+        known: dict[tuple[str, bool], int] = {}
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part, rows = batch.slice(at, 256), {}
@@ -258,33 +274,39 @@ def nodes(pages: DataFrame) -> DataFrame:
                     source = page.as_py() or ""
                     own = digest(source)
                     for text, node, children in blocks(source):
-                        path = known.get(node.path)
+                        path = known.get((node.path, node.hint))
                         if path is None:
                             if len(known) > 100_000:
                                 known.clear()
-                            path = known[node.path] = digest(node.path)
-                        rows[page_id, host, own, path, 0, digest(" ".join(children))] = None
-                        rows[page_id, host, own, path, 1, digest(text)] = None
-                kinds = [part.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+                            path = known[node.path, node.hint] = node.key
+                        rows[page_id, host, own, path, node.hint, 0, digest(" ".join(children))] = None
+                        rows[page_id, host, own, path, node.hint, 1, digest(text)] = None
+                kinds = [part.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
     kind = pages.schema["id"].dataType.simpleString()
-    return pages.mapInArrow(run, f"id {kind}, host string, page long, path long, kind int, value long")
+    return pages.mapInArrow(run, f"id {kind}, host string, page long, path long, hint boolean, kind int, value long")
 
 
 def style_tree(found: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of every node of every site."""
-    values = found.select("host", "path", "kind", "value", "page").distinct().groupBy("host", "path", "kind", "value").count()
-    totals = values.groupBy("host", "path", "kind").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.ln("count")).alias("s"))
+    """(host, path, hint, pages, importance) of every node of every site."""
+    values = found.select("host", "path", "hint", "kind", "value", "page").distinct().groupBy("host", "path", "hint", "kind", "value").count()
+    totals = values.groupBy("host", "path", "hint", "kind").agg(F.sum("count").alias("m"), F.sum(F.col("count") * F.ln("count")).alias("s"))
     entropy = F.when(F.col("m") > 1, (F.ln("m") - F.col("s") / F.col("m")) / F.ln("m")).otherwise(1.0)
     weight = F.when(F.col("kind") == 0, 0.1).otherwise(0.9)
-    return totals.groupBy("host", "path").agg(F.max("m").alias("pages"), F.sum(weight * entropy).alias("importance"))
+    return totals.groupBy("host", "path", "hint").agg(F.max("m").alias("pages"), F.sum(weight * entropy).alias("importance"))
+
+
+def low_branches(tree: DataFrame, min_importance: float = MIN_IMPORTANCE, min_pages: int = MIN_PAGES) -> DataFrame:
+    """(host, path, pages) of the branches that extraction leaves out."""
+    seen = F.col("pages") >= min_pages
+    return tree.where((seen & (F.col("importance") < min_importance)) | (F.col("hint") & ~(seen & (F.col("importance") >= VARIED)))).select("host", "path", "pages")
 
 
 def main_text(page: str, low: frozenset[int]) -> str:
     every = [(text, node) for text, node, _ in blocks(page) if not node.noise]
     inside = [(text, node) for text, node in every if node.main]
-    chosen = [text for text, node in inside or every if not low or digest(node.path) not in low]
+    chosen = [text for text, node in inside or every if not low or node.key not in low]
     return "\n\n".join(chosen or [text for text, _ in inside])
 
 
@@ -295,10 +317,10 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     source = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("__url"), F.col(html_col).alias("html"))
     hosted = source.withColumn("host", host)
     found = stored(nodes(hosted.select("id", "host", "html")), "nodes")
-    low = style_tree(found).where((F.col("pages") >= min_pages) & (F.col("importance") < min_importance)).select("host", "path")
-    own = found.where("kind = 1").select("id", "host", "path").distinct().join(low, ["host", "path"], "left_semi")
+    low = stored(low_branches(style_tree(found), min_importance, min_pages), "low-branches")
+    own = join_groups(found.where("kind = 1").select("id", "host", "path"), low, ["host", "path"], "pages")
     own = own.groupBy("id").agg(F.collect_set("path").alias("low"))
-    joined = source.join(own, "id", "left").select("id", "__url", "html", "low")
+    joined = source.join(own.withColumnRenamed("id", "__id"), F.col("id").eqNullSafe(F.col("__id")), "left").select("id", "__url", "html", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -8,12 +8,12 @@ dual coordinate descent on a bounded sample of the labelled rows.
 
 Edge cases: a text that is null or has no letter gives `und` with score 0; a learned language may have
 any name; with one learned language every text with letters gets it; with none, every text gives `und`;
-repeated rows are judged alike; only the id and the text of the judged rows are read.
+repeated rows are judged alike and count once in the fit; texts of any length are described whole; an empty table
+gives an empty result; only the id and the text of the judged rows are read, whatever other columns there are.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -31,7 +31,6 @@ FAMILIES = 2
 #: Fitting documents of each language, at most, and languages at most.
 MAX_PER_LANGUAGE, MAX_LANGUAGES = 500, 200
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 _OUTSIDE = np.zeros(256, dtype=bool)  # bytes that are neither letters nor parts of other code points
 _OUTSIDE[:128] = [not chr(c).isalpha() for c in range(128)]
 
@@ -141,7 +140,8 @@ class Languages:
 
 
 def fit_languages(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE, families: int = FAMILIES) -> Languages:
-    """Fits on docs(doc_id, text, lang), at most per_language rows of each language, chosen by a hash of the id."""
+    """Fits on docs(doc_id, text, lang): at most per_language documents, chosen by a hash of the id, of each of the
+    MAX_LANGUAGES most frequent languages, so that a column of free text as lang does not become a language a row."""
     marked = docs.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id")
     chosen = bounded_sample(marked, "lang", "doc_id", per_language, MAX_LANGUAGES).distinct()
     sample = docs.where("text IS NOT NULL").select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
@@ -153,7 +153,8 @@ def fit_languages(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE, familie
                 part = batch.slice(chunk.first_row, chunk.n_docs)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(x, pa.binary())], names=["doc_id", "lang", "x"])
 
-    rows = sample.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, x binary").toPandas()
+    found = sample.select("doc_id", "lang", "text").mapInArrow(run, "doc_id long, lang string, x binary")
+    rows = found.groupBy("doc_id", "lang").agg(F.min("x").alias("x")).toPandas()  # at most per_language rows of a language, repeated ones once
     rows = rows.sort_values(["doc_id", "lang"], kind="stable")
     x = np.array([np.frombuffer(v, dtype=np.float16) for v in rows["x"]], dtype=np.float32).reshape(-1, BINS)
     filled = x.any(axis=1)
@@ -170,7 +171,7 @@ def identify(docs: DataFrame, model: Languages, id_col: str = "doc_id", text_col
             for chunk in chunks(texts):
                 names, scores = model.predict(describe(chunk))
                 for i in range(chunk.n_docs):
-                    if not _LETTER.search(texts[chunk.first_row + i].as_py() or ""):
+                    if not any(map(str.isalpha, texts[chunk.first_row + i].as_py() or "")):  # Unicode letters, no numerals
                         names[i], scores[i] = UNDETERMINED, 0.0
                 ids = batch.column(0).slice(chunk.first_row, chunk.n_docs)
                 yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(scores)], names=[id_col, "lang_pred", "score"])

@@ -15,7 +15,8 @@ groups, whose sizes give the offsets, so no length has to meet in one task) and
 a table of ranges, which like the histogram grows with the capacity only.
 
 Edge cases: a null text is empty; an empty document is its end token alone; repeated rows are packed
-each; an empty table gives an empty result; ids may repeat (the row's own piece numbers tell them apart).
+each; an empty table gives an empty result; ids may repeat (the row's own piece numbers tell them apart); texts of
+any length are tokenised whole; other columns are not read.
 """
 
 from __future__ import annotations
@@ -36,6 +37,7 @@ from pyspark.sql.window import Window
 from sensorlake.scratch import stored
 
 CAPACITY, END = 1024, 2
+#: Parts that the pieces of one length are numbered in.
 SALTS = 64
 _PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
@@ -217,8 +219,11 @@ def pack(docs: DataFrame, path: str, capacity: int = CAPACITY, end: int = END) -
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a written table of pieces."""
-    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int"))
-    sizes = cut.groupBy("length", "salt").count().collect()  # at most capacity * SALTS rows
+    # Most pieces of long documents are full, all of one length: they are numbered in more parts where there are more tasks.
+    full = max(SALTS, 4 * int(cut.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    parts = F.when(F.col("length") == capacity, F.lit(full)).otherwise(F.lit(SALTS))
+    cut = cut.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), parts).cast("int"))
+    sizes = cut.groupBy("length", "salt").count().collect()  # at most capacity * SALTS + full rows
     counts: dict[int, int] = defaultdict(int)
     offsets = []
     for length, salt, n in sorted(sizes):

@@ -123,12 +123,52 @@ def test_style_tree_inside_articles_and_on_small_hosts(spark):
     assert all(got[i] == "One article at many addresses" for i in range(30, 36))
 
 
+def test_importance_against_brute_force(spark):
+    import math
+    from collections import Counter
+
+    rng = random.Random(4)
+    boxes = ["Read our rules", "Ask us", "Call us now"]
+    page = lambda i: (f"<body><div class=top>{rng.choice(boxes)}</div><article><h1>T{i % 7}</h1><p>Own words {i}</p><div class=box>{rng.choice(boxes[:2])}</div>"
+                      f"<p>More {i}</p><ul><li>{i % 3}</li></ul></article></body>")
+    pages = [("a.org" if i % 4 else "b.org", page(i)) for i in range(40)] + [("a.org", page(1))] * 2
+    df = spark.createDataFrame([(i, h, p) for i, (h, p) in enumerate(pages)], "id long, host string, html string")
+    got = {(r.host, r.path): (r.pages, r.importance) for r in html_extract.style_tree(html_extract.nodes(df)).collect()}
+    values = {}
+    for host, html in set(pages):
+        for text, node, children in html_extract.blocks(html):
+            values.setdefault((host, node.key, 0), set()).add((html, " ".join(children)))
+            values.setdefault((host, node.key, 1), set()).add((html, text))
+    want = {}
+    for (host, path, kind), seen in values.items():
+        counts = Counter(v for _, v in seen)
+        m = sum(counts.values())
+        entropy = -sum(c / m * math.log(c / m) for c in counts.values()) / math.log(m) if m > 1 else 1.0
+        pages_, importance = want.get((host, path), (0, 0.0))
+        want[host, path] = max(pages_, m), importance + (0.1, 0.9)[kind] * entropy
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    assert any(v[1] < html_extract.MIN_IMPORTANCE for v in got.values()) and any(v[1] > 0.85 for v in got.values())
+
+
+def test_tree_overrules_names_inside_articles(spark):
+    page = lambda i: (f"<body><article><p>Own words {i}</p><div class=promo-story><p>A story of its own, {i}</p></div><div class=share><p>Share this</p></div>"
+                      f"<div class=comments><p>Reader {i} says</p></div></article></body>")
+    rows = [(i, "http://h.org/a", page(i)) for i in range(9)] + [(20, "http://one.org/", page(20)), (None, "http://one.org/", page(21)), (20, "http://one.org/", page(20))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS low", "1 AS host", "2 AS n_chars")
+    got = html_extract.extract(df).collect()
+    texts = {r.page_id: r.text for r in got}
+    assert all(texts[i] == f"Own words {i}\n\nA story of its own, {i}" for i in range(9))
+    assert texts[20] == "Own words 20" and texts[None] == "Own words 21" and len(got) == len(rows)
+    long = html_extract.extract(spark.createDataFrame([(1, "http://a.org", "<p>" + "word " * 400_000 + "</p>" + "<div>" * 3000 + "end")], df.schema[:3])).first()
+    assert long.n_chars == 2_000_000 - 1 + 2 + 3 and html_extract.extract(df.where("false")).count() == 0
+
+
 def test_languages(spark, documents):
     rng = random.Random(3)
     vocab = {"en": "the of and that with river water house".split(), "de": "der und die nicht mit fluss wasser haus".split(),
              "fr": "le et la que avec rivière eau maison".split(), "es": "el y la que con río agua casa".split()}
     rows = [(i, " ".join(rng.choice(vocab[v]) for _ in range(30)), v) for i, v in enumerate(list(vocab) * 40)]
-    docs = documents(rows + [(900, None, "en"), (901, "12 — 34", "de"), (902, "", None)], ", lang string")
+    docs = documents(rows + [(900, None, "en"), (901, "12 — 34 ² ½ Ⅷ ①", "de"), (902, "", None)], ", lang string")
     model = language_id.fit_languages(docs.where("doc_id % 5 <> 2 OR doc_id >= 900"))
     got = {r.doc_id: r for r in language_id.identify(docs, model).collect()}
     assert all(got[i].lang_pred == v for i, _, v in rows) and all(0 <= g.score <= 1 for g in got.values())

@@ -199,4 +199,4 @@ def _joined(docs: DataFrame, items: DataFrame, sketch: DataFrame, k: int, num: i
 
 def without_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """docs without the documents that hold an item; rows without id stay."""
-    return docs.join(leaks(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    return docs.join(leaks(docs, items, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -179,7 +179,7 @@ class ChainField:
     move: np.ndarray
 
     def viterbi(self, scores: np.ndarray) -> list[int]:
-        """The best labels of a chain of lines with these scores."""
+        """The best labels of a chain of lines with these scores; content on a tie."""
         if not len(scores):
             return []
         (m00, m01), (m10, m11) = self.move.tolist()
@@ -187,7 +187,7 @@ class ChainField:
         a, b = rows[0]
         back = []
         for s0, s1 in rows[1:]:
-            from0, from1 = (a + m00 < b + m10), (a + m01 < b + m11)
+            from0, from1 = (a + m00 <= b + m10), (a + m01 <= b + m11)
             back.append((int(from0), int(from1)))
             a, b = (b + m10 if from0 else a + m00) + s0, (b + m11 if from1 else a + m01) + s1
         labels = [int(b >= a)]

@@ -362,9 +362,9 @@ def zoned_names(spark, sf_dir):
 
 
 @query(f"WITH {SERIES}, o AS (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS k FROM s), l AS (SELECT 1 AS section, event_id, CASE WHEN k = 1 THEN '' ELSE ',' END || '{{\"event_id\":' || event_id || ',\"event_type\":\"' || event_type || '\"}}' AS value FROM o) "
-       "SELECT * FROM l UNION ALL VALUES (0, NULL, '['), (2, NULL, ']')")
+       "SELECT * FROM l UNION ALL VALUES (0, -1, '['), (2, -1, ']')")
 def json_array(spark, sf_dir):
     """Events as the lines of one JSON array in time order."""
     lines = sinks.json_array_lines(series(spark, sf_dir).select("ts", "event_id", "event_type"), ["ts", "event_id"])
     short = F.regexp_replace("value", r'\{"ts":[^,]*,', "{")
-    return lines.select("section", "event_id", short.alias("value"))
+    return lines.select("section", F.coalesce("event_id", F.lit(-1)).alias("event_id"), short.alias("value"))

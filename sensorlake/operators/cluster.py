@@ -40,6 +40,12 @@ def cluster_stats(clusters: DataFrame, frame: str) -> DataFrame:
     return clusters.groupBy(frame, "cluster_id").agg(*aggregates)
 
 
+def centroids(points: DataFrame, *keys: str) -> DataFrame:
+    """(keys, points, x, y, z, x_min, x_max, ...): number, mean and bounds of the points of each key."""
+    bounds = [f(c).alias(f"{c}_{n}") for c in "xyz" for n, f in (("min", F.min), ("max", F.max))]
+    return points.groupBy(*keys).agg(F.count("*").alias("points"), *[F.avg(c).alias(c) for c in "xyz"], *bounds)
+
+
 def footpoints(clusters: DataFrame, stats: DataFrame, frame: str) -> DataFrame:
     """Median xy and minimum z of the lowest band of each cluster."""
     low = stats.select(frame, "cluster_id", (F.col("min_z") + F.greatest(F.lit(0.15), 0.2 * (F.col("max_z") - F.col("min_z")))).alias("__top"))

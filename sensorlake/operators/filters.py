@@ -144,6 +144,11 @@ def motion_reject_reason(foot, last, dt: Column, marker_distance: Column, m: Mot
             .when(vertical / moving > m.max_vertical_speed, said("vertical_speed", F.lit(m.max_vertical_speed))))
 
 
+def allowed(reason: Column) -> Column:
+    """Whether a motion passes: no reason speaks against it."""
+    return reason.isNull()
+
+
 def outliers_removed(points: DataFrame, group: str, sigmas: float = 2.0) -> DataFrame:
     """Drops points further than `sigmas` population deviations of the distance from the group's median point;
     groups of fewer than four points, or without spread, stay whole.  The statistics are aggregates joined

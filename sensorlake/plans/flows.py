@@ -55,7 +55,7 @@ def hull_targets(points: DataFrame, targets: DataFrame, camera: Camera = Camera(
     inside = spatial.hull_join(seen, targets.select("frame", "group_index", "hull", "area", "x_min", "x_max", "y_min", "y_max"), "frame")
     keyed = inside.withColumn("target", F.struct("frame", "group_index"))
     clean = filters.outliers_removed(keyed, "target")
-    return clean.groupBy("target").agg(F.count("*").alias("points"), *[F.avg(c).alias(c) for c in "xyz"]).select("target.*", "points", "x", "y", "z")
+    return cluster.centroids(clean, "target").select("target.*", "points", "x", "y", "z")
 
 
 def fused_targets(points: DataFrame, times: DataFrame, detections: DataFrame, camera_times: DataFrame, bag: str = "bag", strict_sync: bool = False,

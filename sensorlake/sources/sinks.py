@@ -67,14 +67,16 @@ def merge(parts: list[tuple[str, DataFrame]], ts: str, source: str = "source_bag
 
 
 def manifest(results: DataFrame, jobs: DataFrame) -> DataFrame:
-    """Per job: bag count and one struct per bag with its status."""
+    """Per job: bag count and one struct per bag with its status; none for a job without results."""
     bag = F.struct(*[c for c in results.columns if c != "job_name"])
-    both = jobs.join(results, "job_name", "left")
-    return both.groupBy("job_name").agg(F.count(results.columns[1]).alias("bag_count"), F.array_sort(F.collect_list(bag)).alias("bags"))
+    lists = results.groupBy("job_name").agg(F.count("*").alias("bag_count"), F.array_sort(F.collect_list(bag)).alias("bags"))
+    none = F.array().cast(lists.schema["bags"].dataType)
+    return jobs.join(lists, "job_name", "left").select(*jobs.columns, F.coalesce("bag_count", F.lit(0)).alias("bag_count"), F.coalesce("bags", none).alias("bags"))
 
 
-def tally(results: DataFrame) -> DataFrame:
-    return results.groupBy("status").agg(F.count("*").alias("bags"), F.array_sort(F.collect_list("bag_name")).alias("names"))
+def tally(results: DataFrame, *keys: str) -> DataFrame:
+    """Counts and names of the bags by status, within the keys."""
+    return results.groupBy(*keys, "status").agg(F.count("*").alias("bags"), F.array_sort(F.collect_list("bag_name")).alias("names"))
 
 
 _KML_HEAD = """<?xml version="1.0" encoding="UTF-8"?>

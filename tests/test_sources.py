@@ -55,7 +55,8 @@ def test_listing_merge_and_manifest(spark, tmp_path):
     assert [(r.ts, r.source_bag) for r in sinks.merge([("a", a), ("b", b)], "ts").collect()] == [(1.0, "own"), (2.0, "a")]
     results = spark.createDataFrame([("j", "a.bag", "ok"), ("j", "b.bag", "failed")], "job_name string, bag_name string, status string")
     jobs = spark.createDataFrame([("j",), ("empty",)], "job_name string")
-    assert {r.job_name: r.bag_count for r in sinks.manifest(results, jobs).collect()} == {"j": 2, "empty": 0}
+    assert {r.job_name: (r.bag_count, [tuple(b) for b in r.bags]) for r in sinks.manifest(results, jobs).collect()} == {
+        "j": (2, [("a.bag", "ok"), ("b.bag", "failed")]), "empty": (0, [])}
     assert {r.status: r.bags for r in sinks.tally(results).collect()} == {"ok": 1, "failed": 1}
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import chat_format, decontaminate, hard_negatives, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules, substring_dedup, url_filter
+from sensorlake.llm import chat_format, decontaminate, hard_negatives, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules, spelling, substring_dedup, url_filter
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -197,3 +197,33 @@ n AS (SELECT p.anchor_id, p.id AS positive_id, n.id AS negative_id, p.score AS p
       FROM p JOIN s n ON n.anchor_id = p.anchor_id AND NOT n.same AND 30 * p.score <= 100 * n.score AND 100 * n.score <= 90 * p.score)
 SELECT anchor_id, positive_id, CAST(rank AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 10
 """
+
+
+@query
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"), typo=31)
+
+
+ORACLES["op12_spelling_variants"] = r"""
+WITH RECURSIVE table_of(t) AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i)
+                     FROM (SELECT unnest(range(256)) AS i)),
+runs AS (SELECT doc_id, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r, count(*) AS n
+         FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS r FROM documents) WHERE length(r) >= 7 GROUP BY ALL),
+bytes AS (SELECT r, n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || r)) AS x FROM runs),
+crc AS (SELECT r, n, xor(list_reduce(list_transform(range(0, length(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS BIGINT)),
+                                     lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) AS h FROM bytes, table_of),
+words AS (SELECT w AS word, sum(n)::BIGINT AS n
+          FROM (SELECT CASE WHEN h % 31 = 0 THEN left(r, h % length(r)) || substr(r, h % length(r) + 2) ELSE r END AS w, n FROM crc)
+          WHERE length(w) >= 7 GROUP BY w HAVING sum(n) >= 2),
+keys AS (SELECT DISTINCT word, n, left(word, i - 1) || substr(word, i + 1) AS k FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)
+         UNION SELECT word, n, word FROM words),
+letters(a, b) AS (SELECT string_agg(chr(192 + i), '' ORDER BY i), string_agg(chr(33 + i), '' ORDER BY i) FROM (SELECT unnest(range(64))::INTEGER AS i)),
+pairs AS (SELECT DISTINCT x.word, x.n, y.word AS near, y.n AS near_n FROM keys x JOIN keys y USING (k), letters
+          WHERE x.word <> y.word AND levenshtein(translate(x.word, a, b), translate(y.word, a, b)) = 1),  -- levenshtein counts bytes
+best AS (SELECT word, count(*) AS n_near, CASE WHEN max(near_n) >= 10 * any_value(n) THEN max(near_n) END AS form_n,
+                CASE WHEN max(near_n) >= 10 * any_value(n) THEN min((-near_n, near))[2] END AS form FROM pairs GROUP BY word),
+follow(word, root) AS (SELECT word, form FROM best WHERE form IS NOT NULL UNION SELECT f.word, b.form FROM follow f JOIN best b ON b.word = f.root WHERE b.form IS NOT NULL),
+last AS (SELECT word, root FROM follow WHERE root NOT IN (SELECT word FROM best WHERE form IS NOT NULL))
+SELECT words.word, n, coalesce(n_near, 0) AS n_near, form, form_n, coalesce(root, words.word) AS root
+FROM words LEFT JOIN best ON best.word = words.word LEFT JOIN last ON last.word = words.word
+"""

@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sensorlake.llm import chat_format, decontaminate, hard_negatives, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules, spelling, substring_dedup, url_filter
+from sensorlake.llm import chat_format, decontaminate, hard_negatives, html_extract, jaccard_join, language_id, line_dedup, packing, quality_rules, spelling, substring_dedup, url_filter, warc
+from sensorlake.scratch import scratch_path
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -227,3 +228,22 @@ last AS (SELECT word, root FROM follow WHERE root NOT IN (SELECT word FROM best
 SELECT words.word, n, coalesce(n_near, 0) AS n_near, form, form_n, coalesce(root, words.word) AS root
 FROM words LEFT JOIN best ON best.word = words.word LEFT JOIN last ON last.word = words.word
 """
+
+
+@query
+def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write_archives(table(spark, sf_dir, "pages"), path, "page_id", "url", "html")
+    found = warc.read_archives(spark, path, payload=False).where("gap IS NULL")
+    page = lambda c: F.regexp_extract(c, r"<urn:record:(-?\d+)>", 1).cast("long")
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"))
+
+
+ORACLES["op13_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+o AS (SELECT *, octet_length(encode(h)) AS n, max(page_id) OVER (PARTITION BY h) AS original FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM original AND original IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN n >= 1000 AND page_id IS DISTINCT FROM original AND original IS NOT NULL THEN original END AS refers_to
+FROM o
+"""

@@ -142,6 +142,28 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own)], names=["word", "n", "reduced", "own"])
 
 
+def edited_once(a: str, b: str) -> bool:
+    """Whether one inserted, deleted or replaced letter makes b of a; in time proportional to their length."""
+    if len(a) > len(b):
+        a, b = b, a
+    if a == b or len(b) - len(a) > 1:
+        return False
+    low, high = 0, len(a)  # the common beginning, by halving
+    while low < high:
+        middle = (low + high + 1) // 2
+        if a[low:middle] == b[low:middle]:
+            low = middle
+        else:
+            high = middle - 1
+    return a[low + (len(a) == len(b)):] == b[low + 1:]
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 2))
+        yield batch.filter(pa.array(list(map(edited_once, a, b)), pa.bool_()))
+
+
 def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     """(word, n, near, near_n), in both directions, for the words(word, n, reduced, own) that differ by exactly one inserted,
     deleted or replaced letter.
@@ -162,7 +184,7 @@ def near_words(words: DataFrame, symbols: int = SYMBOLS) -> DataFrame:
     pairs = meet.join(a, "own").join(b, "variant")
     same = F.col("own") == F.col("variant")
     pairs = pairs.where(~same | (F.col("word") < F.col("near"))).where(F.abs(F.length("word") - F.length("near")) <= 1)
-    pairs = pairs.where(F.levenshtein("word", "near", 1) == 1).select("word", "n", "near", "near_n")
+    pairs = pairs.select("word", "n", "near", "near_n").mapInArrow(_verified, "word string, n long, near string, near_n long")
     both = pairs.select(F.explode(F.array(
         F.struct("word", "n", "near", "near_n"),
         F.struct(F.col("near").alias("word"), F.col("near_n").alias("n"), F.col("word").alias("near"), F.col("n").alias("near_n")))).alias("p"))

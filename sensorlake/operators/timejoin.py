@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sensorlake.functions.geo import angle_lerp, lerp
+from sensorlake.operators import buckets
 
 
 def _carry(left: DataFrame, right: DataFrame, key: str, ts: str, width: float, forward: bool) -> DataFrame:
@@ -49,16 +50,17 @@ def sync_delta_ms(ts: Column, matched: Column) -> Column:
     return (matched - ts) * 1000.0
 
 
-def pose_intervals(poses: DataFrame, key: str, ts: str = "ts") -> DataFrame:
+def pose_intervals(poses: DataFrame, key: str, ts: str = "ts", width: float = 3600.0) -> DataFrame:
     """poses with the values of the next pose under next_*; null at the end."""
-    w = Window.partitionBy(key).orderBy(ts)
-    return poses.select("*", *[F.lead(c).over(w).alias(f"next_{c}") for c in poses.columns if c != key])
+    fields = [c for c in poses.columns if c != key]
+    near = buckets.neighbours(poses, [key], [ts], fields, width, "__before", "__after")
+    return near.select(*poses.columns, *[F.col(f"__after.{c}").alias(f"next_{c}") for c in fields])
 
 
 def interpolate_poses(frames: DataFrame, poses: DataFrame, key: str, linear: list[str], angles: list[str], ts: str = "ts", width: float = 3600.0) -> DataFrame:
     """frames with the interpolated pose: linear values, and angles along the shorter arc (not wrapped).
     Before the first pose its values hold under the frame's time; after the last, its values under its own time."""
-    spans = pose_intervals(poses, key, ts)
+    spans = pose_intervals(poses, key, ts, width)
     first = poses.groupBy(key).agg(F.min_by(F.struct(*[ts, *linear, *angles]), ts).alias("__first"))
     joined = _carry(frames, spans, key, ts, width, False).join(first, key, "left")
     gap = F.col(f"m.next_{ts}") - F.col(f"m.{ts}")

@@ -1,4 +1,4 @@
-"""Trajectory cleaning and summaries as window expressions."""
+"""Trajectory cleaning and summaries, on time buckets: one recording may be many tasks (see `buckets`)."""
 
 from __future__ import annotations
 
@@ -7,21 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sensorlake.config import MAX_GAP_S, MAX_SPIKE_SPEED
+from sensorlake.operators import buckets
 
 
 def _distance(values: list[str], other: list[Column]) -> Column:
     return F.sqrt(sum((F.col(v) - o) * (F.col(v) - o) for v, o in zip(values, other, strict=True)))
 
 
-def step_speed(track: DataFrame, key: str, ts: str, values: list[str], order: list[str] | None = None) -> DataFrame:
+def step_speed(track: DataFrame, key: str, ts: str, values: list[str], order: list[str] | None = None, width: float = buckets.WIDTH) -> DataFrame:
     """Adds speed (from the previous row) and next_speed (to the next); null where time does not advance."""
-    w = Window.partitionBy(key).orderBy(*(order or [ts]))
-    out = track
-    for name, shift in (("speed", F.lag), ("next_speed", F.lead)):
-        dt = F.abs(F.col(ts) - shift(ts).over(w))
-        sign = (F.col(ts) - F.lag(ts).over(w)) if name == "speed" else (F.lead(ts).over(w) - F.col(ts))
-        out = out.withColumn(name, F.when(sign > 0, _distance(values, [shift(v).over(w) for v in values]) / dt))
-    return out
+    near = buckets.neighbours(track, [key], order or [ts], list(dict.fromkeys([ts, *values])), width, "__before", "__after")
+    speed = lambda side, dt: F.when(dt > 0, _distance(values, [F.col(f"{side}.{v}") for v in values]) / dt)
+    return near.withColumns({"speed": speed("__before", F.col(ts) - F.col(f"__before.{ts}")),
+                             "next_speed": speed("__after", F.col(f"__after.{ts}") - F.col(ts))}).drop("__before", "__after")
 
 
 def reject_spikes(track: DataFrame, key: str, ts: str, values: list[str], max_speed: float = MAX_SPIKE_SPEED, order: list[str] | None = None) -> DataFrame:
@@ -38,16 +36,13 @@ def spike_counts(track: DataFrame, key: str, ts: str, values: list[str], max_spe
 def spike_report(track: DataFrame, key: str, ts: str, values: list[str], max_speed: float = MAX_SPIKE_SPEED, top: int = 8) -> DataFrame:
     """The first `top` spikes of each key in time order."""
     spikes = step_speed(track, key, ts, values).where(F.col("speed") > max_speed)
-    nth = F.row_number().over(Window.partitionBy(key).orderBy(ts))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(ts))  # of a top-k report: Spark keeps the first rows of each task
     return spikes.withColumn("nth", nth).where(F.col("nth") <= top)
 
 
-def bracketed(frames: DataFrame, key: str, ts: str, observed: Column, values: list[str], order: list[str]) -> DataFrame:
+def bracketed(frames: DataFrame, key: str, ts: str, observed: Column, values: list[str], order: list[str], width: float = buckets.WIDTH) -> DataFrame:
     """frames with the last observation before and the next one after each row (structs before and after)."""
-    w = Window.partitionBy(key).orderBy(*order)
-    seen = F.when(observed, F.struct(ts, *values))
-    return (frames.withColumn("before", F.last(seen, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-            .withColumn("after", F.first(seen, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))))
+    return buckets.observations(frames, [key], order, observed, list(dict.fromkeys([ts, *values])), width)
 
 
 def fill_gaps(frames: DataFrame, key: str, ts: str, observed: str, values: list[str], max_gap: float = MAX_GAP_S, order: list[str] | None = None) -> DataFrame:
@@ -63,11 +58,12 @@ def fill_gaps(frames: DataFrame, key: str, ts: str, observed: str, values: list[
         (~F.col(observed)).alias("interpolated"))
 
 
-def long_gaps(frames: DataFrame, key: str, ts: str, observed: str, max_gap: float = MAX_GAP_S, order: list[str] | None = None) -> DataFrame:
+def long_gaps(frames: DataFrame, key: str, ts: str, observed: str, max_gap: float = MAX_GAP_S, order: list[str] | None = None, width: float = buckets.WIDTH) -> DataFrame:
     """(key, start, stop, gap, missing) of the gaps that fill_gaps leaves open."""
-    w = Window.partitionBy(key).orderBy(*(order or [ts]))
-    numbered = frames.withColumn("__i", F.row_number().over(w)).where(F.col(observed))
-    pairs = numbered.select(key, F.col(ts).alias("start"), F.lead(ts).over(w).alias("stop"), (F.lead("__i").over(w) - F.col("__i") - 1).alias("missing"))
+    order = order or [ts]
+    numbered = buckets.row_numbers(frames, [key], order[0], order, width, "__i").where(F.col(observed))
+    near = buckets.neighbours(numbered, [key], order, [ts, "__i"], width)
+    pairs = near.select(key, F.col(ts).alias("start"), F.col(f"after.{ts}").alias("stop"), (F.col("after.__i") - F.col("__i") - 1).alias("missing"))
     return pairs.where((F.col("missing") > 0) & (F.col("stop") - F.col("start") > max_gap)).withColumn("gap", F.col("stop") - F.col("start"))
 
 
@@ -83,8 +79,8 @@ def elapsed(df: DataFrame, key: str, ts: str) -> DataFrame:
     return df.join(first, key).withColumn("elapsed", F.col(ts) - F.col("__first")).drop("__first")
 
 
-def frame_index(df: DataFrame, key: str, order: list[str]) -> DataFrame:
-    return df.withColumn("frame_index", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+def frame_index(df: DataFrame, key: str, order: list[str], width: float = buckets.WIDTH) -> DataFrame:
+    return buckets.row_numbers(df, [key], order[0], order, width, "frame_index").withColumn("frame_index", F.col("frame_index") - 1)
 
 
 def downsample(track: DataFrame, key: str, order: list[str], most: int = 10_000) -> DataFrame:
@@ -94,26 +90,21 @@ def downsample(track: DataFrame, key: str, order: list[str], most: int = 10_000)
     return frame_index(track, key, order).join(n, key).where(F.pmod("frame_index", step) == 0).select(track.columns)
 
 
-def miss_streak(df: DataFrame, key: str, order: list[str], hit: str) -> DataFrame:
+def miss_streak(df: DataFrame, key: str, order: list[str], hit: str, width: float = buckets.WIDTH) -> DataFrame:
     """Adds streak: consecutive rows up to this one without a hit."""
-    w = Window.partitionBy(key).orderBy(*order)
-    island = F.count_if(F.col(hit)).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    marked = df.withColumn("__island", island)
-    inside = Window.partitionBy(key, "__island").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return marked.withColumn("streak", F.count_if(~F.col(hit)).over(inside)).drop("__island")
+    return buckets.streaks(df, [key], order, F.col(hit), width)
 
 
-def velocity(df: DataFrame, key: str, ts: str, values: list[str]) -> DataFrame:
+def velocity(df: DataFrame, key: str, ts: str, values: list[str], width: float = buckets.WIDTH) -> DataFrame:
     """Adds v_<value>: finite differences, zero where time barely advances."""
-    w = Window.partitionBy(key).orderBy(ts)
-    dt = F.col(ts) - F.lag(ts).over(w)
-    return df.select("*", *[F.when(dt > 1e-6, (F.col(v) - F.lag(v).over(w)) / dt).otherwise(F.lit(0.0)).alias(f"v_{v}") for v in values])
+    near = buckets.neighbours(df, [key], [ts], list(dict.fromkeys([ts, *values])), width, "__before", "__after")
+    dt = F.col(ts) - F.col(f"__before.{ts}")
+    return near.select("*", *[F.when(dt > 1e-6, (F.col(v) - F.col(f"__before.{v}")) / dt).otherwise(F.lit(0.0)).alias(f"v_{v}") for v in values]).drop("__before", "__after")
 
 
-def last_k(df: DataFrame, key: str, ts: str, value: str, k: int) -> DataFrame:
+def last_k(df: DataFrame, key: str, ts: str, value: str, k: int, width: float = buckets.WIDTH) -> DataFrame:
     """Adds history: the last k values, oldest first."""
-    w = Window.partitionBy(key).orderBy(ts).rowsBetween(-k + 1, 0)
-    return df.withColumn("history", F.collect_list(value).over(w))
+    return buckets.histories(df, [key], [ts], value, k, width)
 
 
 def world_csv_rows(world: DataFrame, ts: str = "utc_seconds") -> DataFrame:

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 #: One point on the wire (fixed values).
 WIRE = np.dtype([("offset_time", "<u4"), ("x", "<f4"), ("y", "<f4"), ("z", "<f4"), ("reflectivity", "u1"), ("tag", "u1"), ("line", "u1")])
 
+#: Points that a task decodes at once.
+POINTS = 1 << 18
+
 
 def points_of(payload: bytes) -> np.ndarray:
     """The points of a message: sequence, stamp, frame id, time base, count and lidar id precede them."""
@@ -26,18 +29,48 @@ def decode_points(messages: DataFrame) -> DataFrame:
     """messages(bag, frame_index, ts, payload) to (bag, frame_index, ts, point_index, x, y, z); a message that is
     cut short is an error of its task."""
 
+    def rows(batch: pa.RecordBatch, start: int, clouds: list[np.ndarray]) -> pa.RecordBatch:
+        counts = np.array([len(p) for p in clouds])
+        own = pa.array(np.repeat(np.arange(start, start + len(clouds)), counts))
+        nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        points = np.concatenate(clouds)
+        return pa.RecordBatch.from_arrays([*[batch.column(c).take(own) for c in range(3)], pa.array(nth), *[pa.array(points[c].astype(np.float64)) for c in "xyz"]],
+                                          names=["bag", "frame_index", "ts", "point_index", "x", "y", "z"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            start, held, clouds = 0, 0, []
             for i in range(batch.num_rows):
-                p = points_of(batch.column(3)[i].as_py())
-                head = [pa.array([batch.column(c)[i].as_py()] * len(p), batch.schema.field(c).type) for c in range(3)]
-                yield pa.RecordBatch.from_arrays([*head, pa.array(np.arange(len(p))), *[pa.array(p[c].astype(np.float64)) for c in "xyz"]],
-                                                 names=["bag", "frame_index", "ts", "point_index", "x", "y", "z"])
+                clouds.append(points_of(batch.column(3)[i].as_py()))
+                held += len(clouds[-1])
+                if held >= POINTS or i + 1 == batch.num_rows:
+                    yield rows(batch, start, clouds)
+                    start, held, clouds = i + 1, 0, []
 
     return messages.select("bag", "frame_index", "ts", "payload").mapInArrow(
         run, "bag string, frame_index long, ts double, point_index long, x double, y double, z double")
 
 
+def encode_points(messages: DataFrame) -> DataFrame:
+    """messages(..., points array<struct<x, y, z>>) with payload, as decode_points reads it, in place of points."""
+    kept = [c for c in messages.columns if c != "points"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            points = batch.column(len(kept))
+            ends = np.asarray(points.offsets) - points.offsets[0].as_py()
+            flat = points.flatten()
+            wire = np.zeros(len(flat), dtype=WIRE)
+            for i, c in enumerate("xyz"):
+                wire[c] = flat.field(i).to_numpy(zero_copy_only=False)
+            head = lambda i, n: struct.pack("<IIIIQI", i, 0, 0, 0, 0, n) + bytes(4)
+            out = [head(i, b - a) + wire[a:b].tobytes() for i, (a, b) in enumerate(zip(ends[:-1], ends[1:], strict=True))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.binary())], names=[*kept, "payload"])
+
+    schema = ", ".join(f"`{c}` {messages.schema[c].dataType.simpleString()}" for c in kept)
+    return messages.select(*kept, F.col("points").cast("array<struct<x:double,y:double,z:double>>")).mapInArrow(run, f"{schema}, payload binary")
+
+
 def decode_images(frames: DataFrame) -> DataFrame:
     """Raw mono8, bgr8 and rgb8 frames(bag, frame_index, ts, encoding, height, width, data) to BGR bytes."""
 

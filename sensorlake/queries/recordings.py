@@ -35,7 +35,7 @@ XYZ = ", ".join(f"{r(f'CAST(CAST({e} AS FLOAT) AS DOUBLE)')} AS {c}" for c, e in
 
 
 @query(f"SELECT CAST(l_orderkey // {ORDERS} AS BIGINT) AS bag, dense_rank() OVER (PARTITION BY l_orderkey // {ORDERS} ORDER BY l_orderkey) - 1 AS frame_index, "
-       f"{r('l_orderkey * 100000000 / 1e9')} AS ts, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) - 1 AS point_index, {XYZ} FROM lineitem")
+       f"{r('l_orderkey * 100000000 / 1e9')} AS ts, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity, l_extendedprice % 2000, l_discount) - 1 AS point_index, {XYZ} FROM lineitem")
 def bag_points(spark, sf_dir):
     """One topic of all bags, decoded."""
     messages = bags.read_bags(spark, _bags(spark, sf_dir)).where("topic = '/points'")

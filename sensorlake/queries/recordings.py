@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sensorlake.functions.records import rounded
-from sensorlake.queries.base import query, r, table
+from sensorlake.queries.base import SERIES, query, r, table
+from sensorlake.queries.series import ASOF, CAMERA, LIDAR, SIDES
+from sensorlake.scratch import scratch_path
 from sensorlake.sources import bags
 from sensorlake.sources.points import decode_points, encode_points
 
@@ -52,3 +54,27 @@ def bag_range(spark, sf_dir):
     quarter = (high - low) // 4
     messages = bags.read_bags(spark, _bags(spark, sf_dir)).where((F.col("topic") == "/status") & F.col("ts_ns").between(low + quarter, low + quarter * 3))
     return messages.select(_number(F.col("bag")), "ts_ns", F.decode("payload", "UTF-8").alias("status"))
+
+
+@query(f"WITH {SERIES}, {SIDES}, j AS ({ASOF}) SELECT event_id, coalesce(camera_id, -1) AS camera_id FROM j")
+def stream_asof(spark, sf_dir):
+    """The as-of join of two streams; the events come in three slices of time, each read by a query that goes on from the
+    checkpoint of the one before, and a last row that moves the watermark past all others."""
+    from sensorlake.streaming.asof import asof_stream
+
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
+    slices = events.select("*", F.floor(F.col("ts").cast("double") / (30 * 86400)).alias("month"))
+    low, high = slices.agg(F.min("month"), F.max("month")).first()
+    folder, out, state = (scratch_path(spark, n) for n in ("events", "joined", "join-state"))
+    edges = [low + (high + 1 - low) * i / 3 for i in range(4)]
+    end = events.agg(F.max("ts").alias("ts")).select(
+        F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).cast(events.schema["ts"].dataType).alias("ts"),
+        F.lit(-1).cast(events.schema["event_id"].dataType).alias("event_id"), F.lit("view").alias("event_type"))
+    for part in [*(slices.where((F.col("month") >= a) & (F.col("month") < b)).select(events.columns) for a, b in zip(edges, edges[1:], strict=False)), end]:
+        part.write.mode("append").parquet(folder)
+        rows = spark.readStream.schema(events.schema).parquet(folder)
+        left = rows.where(LIDAR).select("user_id", "ts", "event_id")
+        right = rows.where(CAMERA).select("user_id", "ts", F.col("event_id").alias("camera_id"))
+        joined = asof_stream(left, right, "user_id", "ts", "1 day").select("event_id", F.coalesce("m.camera_id", F.lit(-1)).alias("camera_id"))
+        joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(joined.schema).parquet(out).where("event_id >= 0")

@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from sensorlake.config import Clustering, Person
 from sensorlake.operators.components import connected_components
 from sensorlake.operators.filters import depth, person_like, width
+from sensorlake.operators.quantiles import quantiles
 from sensorlake.operators.spatial import eps_pairs
 
 
@@ -50,7 +51,8 @@ def footpoints(clusters: DataFrame, stats: DataFrame, frame: str) -> DataFrame:
     """Median xy and minimum z of the lowest band of each cluster."""
     low = stats.select(frame, "cluster_id", (F.col("min_z") + F.greatest(F.lit(0.15), 0.2 * (F.col("max_z") - F.col("min_z")))).alias("__top"))
     band = clusters.join(low, [frame, "cluster_id"]).where(F.col("z") <= F.col("__top"))
-    return band.groupBy(frame, "cluster_id").agg(F.median("x").alias("foot_x"), F.median("y").alias("foot_y"), F.min("z").alias("foot_z"))
+    foot = quantiles(band, [frame, "cluster_id"], {"foot_x": ("x", [0.5]), "foot_y": ("y", [0.5]), "foot_z": ("z", [0.0])})
+    return foot.select(frame, "cluster_id", *[F.col(c)[0].alias(c) for c in ("foot_x", "foot_y", "foot_z")])
 
 
 def candidate_score(p: Person = Person()) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from sensorlake.config import EgoBox, LocalRoi, Motion, Person, Roi
 from sensorlake.functions.geo import norm2
+from sensorlake.operators.quantiles import quantiles
 
 Range = tuple[float, float]
 
@@ -152,8 +153,9 @@ def allowed(reason: Column) -> Column:
 def outliers_removed(points: DataFrame, group: str, sigmas: float = 2.0) -> DataFrame:
     """Drops points further than `sigmas` population deviations of the distance from the group's median point;
     groups of fewer than four points, or without spread, stay whole.  The statistics are aggregates joined
-    back, so no group is held in one task's window."""
-    center = points.groupBy(group).agg(*[F.median(c).alias(f"__m{c}") for c in "xyz"], F.count("*").alias("__n"))
+    back, medians of large groups are refined (see `quantiles`), so no group is held in one task."""
+    center = quantiles(points, [group], {f"__m{c}": (c, [0.5]) for c in "xyz"}).withColumnRenamed("n", "__n")
+    center = center.withColumns({f"__m{c}": F.col(f"__m{c}")[0] for c in "xyz"})
     square = sum((F.col(c) - F.col(f"__m{c}")) * (F.col(c) - F.col(f"__m{c}")) for c in "xyz")
     far = points.join(center, group).withColumn("__d", F.sqrt(square))
     spread = far.groupBy(group).agg(F.stddev_pop("__d").alias("__s"))

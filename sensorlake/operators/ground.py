@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sensorlake.config import Ground
 from sensorlake.operators.filters import protected, z_gate
+from sensorlake.operators.quantiles import quantiles
 from sensorlake.operators.spatial import cell, neighbour_cells
 
 
@@ -19,8 +20,8 @@ def gridded(points: DataFrame, size: float) -> DataFrame:
 def ground_cells(points: DataFrame, frame: str, g: Ground = Ground()) -> DataFrame:
     """(frame, gx, gy, n, ground, clearance): a quantile of z, or in sparse cells the minimum."""
     sparse = F.col("n") < g.min_points
-    stats = gridded(points, g.cell).groupBy(frame, "gx", "gy").agg(
-        F.count("*").alias("n"), F.min("z").alias("lo"), F.percentile("z", F.lit(g.quantile)).alias("q"))
+    stats = quantiles(gridded(points, g.cell), [frame, "gx", "gy"], {"z": ("z", [0.0, g.quantile])})
+    stats = stats.withColumns({"lo": F.col("z")[0], "q": F.col("z")[1]})
     return stats.select(frame, "gx", "gy", "n", F.when(sparse, F.col("lo")).otherwise(F.col("q")).alias("ground"),
                         F.when(sparse, F.lit(g.fallback_clearance)).otherwise(F.lit(g.clearance)).alias("clearance"))
 
@@ -99,4 +100,4 @@ def stage_counts(points: DataFrame, frame: str, **stages) -> DataFrame:
 
 
 def height_profile(points: DataFrame, frame: str, name: str = "z_p10_p50_p90") -> DataFrame:
-    return points.groupBy(frame).agg(F.percentile("z", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias(name))
+    return quantiles(points, [frame], {name: ("z", [0.1, 0.5, 0.9])}).drop("n")

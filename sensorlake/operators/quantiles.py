@@ -41,13 +41,12 @@ def quantiles(df: DataFrame, keys: list[str], wanted: dict[str, tuple[str, list[
     large = F.col("n") > max(most, total // hot)
     names = [f"__of{i}" for i in range(len(keys))]
     big = sizes.where(large).select(*[F.col(k).alias(o) for k, o in zip(keys, names, strict=True)], "*").drop(*keys)
-    match = lambda: [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, names, strict=True)]
-    small = rows.join(F.broadcast(big.select(*names)), _all(match()), "left_anti")
     each = [F.percentile(f"__v{columns.index(c)}", F.array(*map(F.lit, qs))).alias(name) for name, (c, qs) in wanted.items()]
-    out = small.groupBy(*keys).agg(F.count("*").alias("n"), *each)
+    sort = lambda some: some.groupBy(*keys).agg(F.count("*").alias("n"), *each)
     if big.isEmpty():
-        return out
-    return out.unionByName(_refined(rows, sizes.where(large), keys, columns, wanted))
+        return sort(rows)
+    small = rows.join(F.broadcast(big.select(*names)), _all([F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, names, strict=True)]), "left_anti")
+    return sort(small).unionByName(_refined(rows, sizes.where(large), keys, columns, wanted))
 
 
 def _all(conditions: list[Column]) -> Column:

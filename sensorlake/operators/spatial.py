@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -73,21 +75,72 @@ def convex_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.array(chain(points) + chain(points[::-1]), dtype=float)
 
 
-def hulls(points: DataFrame, keys: list[str], x: str = "u", y: str = "v") -> DataFrame:
-    """(keys, hull array<struct<x,y>>, area, bounds) of the few corner points of each group."""
+def outermost(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Without most of the points that lie well inside the quadrilateral of the extreme ones."""
+    ends = np.array([x.argmin(), y.argmin(), x.argmax(), y.argmax()])
+    inside = np.ones(len(x), dtype=bool)
+    for a, b in zip(ends, np.roll(ends, -1), strict=True):
+        cross = (x[b] - x[a]) * (y - y[a]) - (y[b] - y[a]) * (x - x[a])
+        inside &= cross > 1e-9 * (np.ptp(x) * np.ptp(y))
+    return ~inside
+
+
+#: Vertices that a task holds before it passes them on.
+HELD = 200_000
+
+
+def _task_hulls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows (key, x, y) to the vertices of the hull of each key's rows in the task: the combiner."""
+    held: dict[str, np.ndarray] = {}
+    size = 0
+    for frame in frames:
+        codes, keys = pd.factorize(frame["key"])
+        order = np.argsort(codes, kind="stable")
+        xy = frame[["x", "y"]].to_numpy(float)[order]
+        for key, own in zip(keys, np.split(xy, np.flatnonzero(np.diff(codes[order])) + 1), strict=True) if len(xy) else ():
+            own = own[outermost(own[:, 0], own[:, 1])]
+            if (before := held.get(key)) is not None:
+                own = np.concatenate([before, own])
+            held[key] = convex_hull(own[:, 0], own[:, 1])
+            size += len(held[key]) - (0 if before is None else len(before))
+        if size > HELD:
+            yield _vertices(held)
+            held, size = {}, 0
+    yield _vertices(held)
+
+
+def _vertices(held: dict[str, np.ndarray]) -> pd.DataFrame:
+    xy = np.concatenate([*held.values(), np.zeros((0, 2))])
+    return pd.DataFrame({"key": np.repeat(np.array(list(held), dtype=object), [len(h) for h in held.values()]), "x": xy[:, 0], "y": xy[:, 1]})
+
+
+def hulls(points: DataFrame, keys: list[str], x: str = "u", y: str = "v", salts: int = 64) -> DataFrame:
+    """(keys, hull array<struct<x,y>>, area, bounds) of each group with a point.
+
+    The hull of hulls is the hull of all: tasks reduce what they read to vertices, parts of a group (by a salt) are reduced
+    again, and the last step sees some vertices of at most `salts` parts, so one group may hold all points.  Points with a
+    null or non-finite coordinate do not count.
+    """
+
+    def part(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = convex_hull(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))
+        return pd.DataFrame({"key": pdf["key"].iloc[0], "x": h[:, 0], "y": h[:, 1]})
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        h = convex_hull(pdf[x].to_numpy(float), pdf[y].to_numpy(float))
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        h = convex_hull(pdf["x"].to_numpy(float), pdf["y"].to_numpy(float))
         area = 0.5 * abs(float(np.dot(h[:, 0], np.roll(h[:, 1], -1)) - np.dot(h[:, 1], np.roll(h[:, 0], -1)))) if len(h) > 2 else 0.0
-        row = {k: pdf[k].iloc[0] for k in keys} | {"hull": [{"x": a, "y": b} for a, b in h.tolist()], "area": area}
+        row = {"key": pdf["key"].iloc[0], "hull": [{"x": a, "y": b} for a, b in h.tolist()], "area": area}
         return pd.DataFrame([row | {"x_min": h[:, 0].min(), "x_max": h[:, 0].max(), "y_min": h[:, 1].min(), "y_max": h[:, 1].max()}])
 
-    kinds = ", ".join(f"{k} {points.schema[k].dataType.simpleString()}" for k in keys)
-    # Extreme points per direction first: a hull vertex is extreme among the points of its x, so one
-    # smallest and one largest y per x suffice, whatever the size of a group.
-    by_x = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(*keys, x).agg(F.min(y).alias("__lo"), F.max(y).alias("__hi"))
-    thin = by_x.select(*keys, x, F.explode(F.array("__lo", "__hi")).alias(y))
-    return thin.groupBy(*keys).applyInPandas(one, f"{kinds}, hull array<struct<x:double,y:double>>, area double, x_min double, x_max double, y_min double, y_max double")
+    schema = "key string, x double, y double"
+    options = {"ignoreNullFields": "false"}
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
+    rows = points.select(F.to_json(F.struct(*keys), options).alias("key"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    some = rows.where(finite("x") & finite("y")).mapInPandas(_task_hulls, schema)
+    parts = some.withColumn("salt", F.pmod(F.xxhash64("x", "y"), F.lit(salts))).groupBy("key", "salt").applyInPandas(part, schema)
+    found = parts.groupBy("key").applyInPandas(whole, "key string, hull array<struct<x:double,y:double>>, area double, x_min double, x_max double, y_min double, y_max double")
+    kinds = points.select(*keys).schema
+    return found.withColumn("key", F.from_json("key", kinds)).select("key.*", "hull", "area", "x_min", "x_max", "y_min", "y_max")
 
 
 def inside_hull(hull: Column, u: Column, v: Column) -> Column:

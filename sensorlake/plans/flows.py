@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sensorlake.config import MAX_GAP_S, MAX_SPIKE_SPEED, SYNC_TOLERANCE_S, Camera, Clustering, EgoBox, Extrinsics, Ground, Person, Roi, Tracker
 from sensorlake.functions import geo, projection
 from sensorlake.operators import cluster, filters, ground, markers, spatial, timejoin, trackers, trajectory
+from sensorlake.operators.quantiles import quantiles
+from sensorlake.scratch import stored
 
 POSE_LINEAR, POSE_ANGLES = ["latitude_deg", "longitude_deg", "height_m"], ["roll_deg", "pitch_deg", "heading_deg"]
 
@@ -19,9 +21,9 @@ def regional(points: DataFrame, roi: Roi = Roi(), ego: EgoBox = EgoBox()) -> Dat
 def ground_lab(points: DataFrame, roi: Roi = Roi(), ego: EgoBox = EgoBox(), g: Ground = Ground()) -> DataFrame:
     """Counts, keep ratio and height profiles before and after ground removal, per frame."""
     inside = regional(points, roi, ego)
-    kept = ground.remove_ground(inside, "frame", "point_index", g)
-    after = kept.groupBy("frame").agg(F.count("*").alias("kept"), F.percentile("z", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("filtered_z"))
-    before = inside.groupBy("frame").agg(F.count("*").alias("inside"), F.percentile("z", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("raw_z"))
+    kept = stored(ground.remove_ground(inside, "frame", "point_index", g).select("frame", "z"), "kept")
+    profile = lambda df, n, name: quantiles(df, ["frame"], {name: ("z", [0.1, 0.5, 0.9])}).withColumnRenamed("n", n)
+    after, before = profile(kept, "kept", "filtered_z"), profile(inside, "inside", "raw_z")
     raw = points.groupBy("frame").agg(F.count("*").alias("raw"))
     joined = raw.join(before, "frame", "left").join(after, "frame", "left").na.fill(0, ["inside", "kept"])
     return joined.withColumn("keep_ratio", F.coalesce(F.bround(F.try_divide("kept", "inside"), 6), F.lit(0.0)))

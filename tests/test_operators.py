@@ -224,3 +224,24 @@ def test_segments(spark):
     things = {r.pixel: r.segment for r in segments.panoptic(classes, masks, "image", things=(1, 2)).collect()}
     assert len(set(things.values())) == 3
     assert [r.query for r in segments.instances(classes, masks, "image", 1).collect()] == [1]
+
+
+def test_hulls_of_parts_of_one_group(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    cloud = np.concatenate([rng.normal(0, 5, (6000, 2)), rng.integers(-12, 13, (3000, 2)).astype(float), [[40.0, -3.0]]])
+    rows = [("a", float(x), float(y), 1) for x, y in cloud] + [("b", 1.0, 2.0, 1), ("b", 1.0, 2.0, 1), (None, 0.0, 0.0, 2), (None, 3.0, 0.0, 2), (None, None, 5.0, 2), ("c", float("nan"), 1.0, 3)]
+    points = spark.createDataFrame(rows, "key string, u double, v double, salt long").repartition(9)
+    want = spatial.convex_hull(cloud[:, 0], cloud[:, 1])
+    found = {r["key"]: r for r in spatial.hulls(points, ["key", "salt"], salts=5).collect()}
+    assert set(found) == {"a", "b", None} and [(p["x"], p["y"]) for p in found["a"]["hull"]] == [tuple(p) for p in want.tolist()]
+    assert len(found["b"]["hull"]) == 1 and found[None]["area"] == 0.0 and found[None]["salt"] == 2 and found["a"]["x_max"] == 40.0
+    assert spatial.hulls(points.where("false"), ["key"]).collect() == []
+
+
+def test_what_lies_well_inside_is_left_out_before_a_hull():
+    rng = np.random.default_rng(5)
+    for scale in (1e-6, 1.0, 1e9):
+        xy = rng.normal(0, scale, (2000, 2))
+        some = xy[spatial.outermost(xy[:, 0], xy[:, 1])]
+        assert len(some) < 1500
+        np.testing.assert_array_equal(spatial.convex_hull(some[:, 0], some[:, 1]), spatial.convex_hull(xy[:, 0], xy[:, 1]))

@@ -73,11 +73,11 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def windows_under(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(a, w, doc_id, start) of the windows of docs(doc_id, text, hits) whose fingerprint is among hits."""
+    """(a, w, doc_id, start, t) of the windows of docs(doc_id, text, hits, t) whose fingerprint is among hits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
             for chunk in chunks(batch.column(1)):
                 at, doc, place, grams = winnow(chunk, window, gram)
                 anchors = signed(grams)[place] if len(at) else at
@@ -90,10 +90,10 @@ def windows_under(docs: DataFrame, window: int, gram: int) -> DataFrame:
                 at, doc = at[keep], doc[keep]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(anchors[keep]), pa.array(other[at] if len(at) else at),
-                     pa.array(ids[chunk.first_row + doc]), pa.array(at - chunk.word_bounds[doc])],
-                    names=["a", "w", "doc_id", "start"])
+                     pa.array(ids[chunk.first_row + doc]), pa.array(at - chunk.word_bounds[doc]), pa.array(tags[chunk.first_row + doc])],
+                    names=["a", "w", "doc_id", "start", "t"])
 
-    return docs.select("doc_id", "text", "hits").mapInArrow(run, "a long, w long, doc_id long, start long")
+    return docs.select("doc_id", "text", "hits", "t").mapInArrow(run, "a long, w long, doc_id long, start long, t long")
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,stop:long>>, covered array<long>"
@@ -208,15 +208,21 @@ class FingerprintIndex:
         for part in parts[1:]:
             wanted = wanted.unionByName(part)
         wanted = BucketedTable(wanted.groupBy("doc_id").agg(F.collect_set("a").alias("hits")), "wanted", "doc_id", self.buckets)
+        # the texts of an id are told apart by a hash, where ids of the batch have several rows at all
+        mixed = not content.read().groupBy("doc_id").count().where("count > 1").isEmpty()
+        tag = F.xxhash64("text") if mixed else F.lit(0).cast("long")
         listed = None
         for table, age in [(content, 1)] + [(c, 0) for c in self.contents]:
-            part = windows_under(table.read().join(wanted.read(), "doc_id"), self.window, self.gram).withColumn("age", F.lit(age))
+            part = windows_under(table.read().join(wanted.read(), "doc_id").withColumn("t", tag), self.window, self.gram).withColumn("age", F.lit(age))
             listed = part if listed is None else listed.unionByName(part)
         windows = stored(self._order(listed, content), "windows")
         firsts = stored(windows.groupBy("a", "w").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1"), "first-windows")
         repeated = join_groups(windows.where("age = 1"), firsts, ["a", "w"], "c").where("at <> first")
-        starts = repeated.groupBy("doc_id").agg(F.collect_list("start").alias("starts"))
-        return cut(content.read().join(starts, "doc_id", "left"), self.window, self.gram), [wanted, windows, firsts]
+        start = F.struct("t", "start") if mixed else F.col("start")
+        texts = content.read().join(repeated.groupBy("doc_id").agg(F.collect_list(start).alias("starts")), "doc_id", "left")
+        if mixed:
+            texts = texts.withColumn("t", tag).withColumn("starts", F.transform(F.filter("starts", lambda x: x["t"] == F.col("t")), lambda x: x["start"]))
+        return cut(texts, self.window, self.gram), [wanted, windows, firsts]
 
     def _order(self, windows: DataFrame, content: BucketedTable) -> DataFrame:
         """Adds at, a number that orders windows by (age, doc_id, start)."""
@@ -227,7 +233,7 @@ class FingerprintIndex:
         width = high - low + 1
         kind = "long" if 2 * width * length < 1 << 63 else "decimal(38,0)"
         at = f"((CAST(age AS {kind}) * {width}{'L' if kind == 'long' else ''} + (doc_id - {low}L)) * {length}L + start)"
-        return windows.select("a", "w", "doc_id", "start", "age", F.expr(f"CAST({at} AS {kind})").alias("at"))
+        return windows.select("a", "w", "doc_id", "start", "t", "age", F.expr(f"CAST({at} AS {kind})").alias("at"))
 
     def _compact(self) -> list[Run]:
         """Merges the runs of a level that has `fan` of them, without the rows under tombstones; the runs that are merged."""
@@ -277,18 +283,23 @@ class FingerprintIndex:
 
 
 def exact_copies(docs: DataFrame) -> DataFrame:
-    """(doc_id, original): documents whose text equals that of a smaller doc_id."""
-    hashed = stored(docs.select("doc_id", F.md5("text").alias("h"), F.octet_length("text").alias("size")).where("h IS NOT NULL"), "text-hashes")
-    firsts = stored(hashed.groupBy("h", "size").agg(F.min("doc_id").alias("original"), F.count("*").alias("c")).where("c > 1"), "first-texts")
-    copies = stored(join_groups(hashed, firsts, ["h", "size"], "c").where("doc_id <> original").select("doc_id", "original"), "copies")
-    forget(hashed, firsts)
+    """(doc_id, original): documents whose text equals that of a smaller doc_id, among the ids that have one row."""
+    hashed = stored(docs.select("doc_id", F.md5("text").alias("h"), F.octet_length("text").alias("size")), "text-hashes")
+    again = stored(hashed.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id"), "repeated-ids")
+    single = hashed.where("h IS NOT NULL")
+    if not again.isEmpty():
+        single = stored(single.join(again, "doc_id", "left_anti"), "single-ids")
+    firsts = stored(single.groupBy("h", "size").agg(F.min("doc_id").alias("original"), F.count("*").alias("c")).where("c > 1"), "first-texts")
+    copies = stored(join_groups(single, firsts, ["h", "size"], "c").where("doc_id <> original").select("doc_id", "original"), "copies")
+    forget(hashed, again, firsts)
     return copies
 
 
 def deduplicate(docs: DataFrame, batches: int = 3, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(doc_id, n_words, n_removed, kept, removed) of every document: docs go into a new index in `batches`
     batches of rising doc_id.  A copy of an earlier text loses all its words if they fill a window, so
-    copies stay out of the index."""
+    copies stay out of the index.  Every row with an id gives a row: ids with several rows go through the index, where equal rows of an
+    id are one document, neither the earlier one, and each text of an id loses its own repeated windows."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text").where("doc_id IS NOT NULL")
     copies = exact_copies(docs)

@@ -86,3 +86,21 @@ def test_repeated_rows_null_ids_and_other_columns(spark, documents):
 
 def test_empty_table(spark, documents):
     assert deduplicate(documents([])).count() == 0
+
+
+def test_ids_with_several_rows_and_copies(spark, documents):
+    rng = random.Random(11)
+    a, b = (" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(2))
+    shared = " ".join(b.split()[5:30])
+    for rows in ([(1, a), (2, a), (2, b)], [(1, a), (1, a), (2, a)], [(1, a), (1, a), (2, a), (2, a)], [(1, "x y"), (1, "x y"), (2, "x y")],
+                 [(1, a), (1, b), (2, a), (3, shared + " new end"), (3, None), (4, a)]):
+        got = sorted((r.doc_id, r.n_words, r.n_removed) for r in deduplicate(documents(rows)).collect())
+        want, first = [], {}
+        for doc, text in rows:  # a window is repeated if a smaller id has it
+            words = (text or "").split()
+            windows = [tuple(words[i:i + 20]) for i in range(len(words) - 19)]
+            gone = {i + k for i, w in enumerate(windows) for k in range(20) if first.get(w, doc) < doc}
+            for w in windows:
+                first.setdefault(w, doc)
+            want.append((doc, len(words), len(gone)))
+        assert got == sorted(want), rows

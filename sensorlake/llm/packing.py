@@ -46,7 +46,7 @@ def tokenizer(path: str):
     """text -> ids for a byte-level BPE in the `tokenizers` file at path.
 
     A .tiktoken file of the same name holds the same vocabulary as ranks; it gives the same ids several
-    times as fast and is used for texts without a special token's string.
+    times as fast and is used for texts without a special token's string; texts that it cannot match go through `tokenizers`.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
@@ -65,7 +65,12 @@ def tokenizer(path: str):
     def encode(text: str):
         if any(s in text for s in special):
             return slow.encode(text, add_special_tokens=False).ids
-        return fast.encode_ordinary(text)
+        try:
+            return fast.encode_ordinary(text)
+        except BaseException as panic:  # its pattern overflows a stack on some 1,000,000 white space characters in a row
+            if type(panic).__name__ != "PanicException":
+                raise
+            return slow.encode(text, add_special_tokens=False).ids
 
     return encode
 

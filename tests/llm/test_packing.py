@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 from tokenizers import Tokenizer
 
+from sensorlake.llm import packing
 from sensorlake.llm.packing import best_fit, pack, plan, reduce_by_dominance
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,3 +73,16 @@ def test_reduction_keeps_the_optimum_and_all_items():
                 used[v] += times
         assert used == Counter(items)
     assert sum(t for _, t in best_fit({6: 5}, 20)) == 2
+
+
+def test_texts_of_any_length_and_clashing_columns(documents):
+    texts = [" " * 1_500_000, "\n" * 1_500_000, "a" * 1_500_000, "x" + " \t" * 600_000 + "y", None, ""]
+    rows = [(i, t, 1, "p", 2) for i, t in enumerate(texts)]
+    slow = Tokenizer.from_file(PATH)
+    lengths = {i: len(slow.encode(t or "", add_special_tokens=False).ids) + 1 for i, t in enumerate(texts)}
+    encode = packing.tokenizer(PATH)
+    assert list(encode(texts[3])) == slow.encode(texts[3], add_special_tokens=False).ids
+    got = {}
+    for r in pack(documents(rows, ", piece int, start string, length long"), PATH).select("doc_id", "length").collect():
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + r["length"]
+    assert got == lengths

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sensorlake.config import Clustering, EgoBox, Ground, LocalRoi, Motion, Person, Roi, Tracker
 from sensorlake.functions.geo import norm2
 from sensorlake.functions.records import canvas, candidate_key, height_colour, rounded
-from sensorlake.operators import cluster, filters, ground, markers, segments, spatial, trackers
+from sensorlake.operators import cluster, filters, ground, markers, raster, segments, spatial, trackers
 from sensorlake.queries.base import PTS, VEC, pts, query, r, vec
 
 KEEP = ["frame", "point_index", "x", "y", "z"]
@@ -407,3 +407,28 @@ def distinct_ids(spark, sf_dir):
     groups = items.groupBy((F.col("l_orderkey") % 50).alias("frame"), "l_orderkey").agg(one.alias("g"))
     listed = groups.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("l_orderkey", "g"))).alias("gs"))
     return listed.select("frame", F.array_join(markers.distinct_ids(F.transform("gs", lambda s: s["g"])), ",").alias("ids"))
+
+
+RASTER = (f"{PTS}, m AS (SELECT frame, CAST(trunc(greatest(least((x + 10.0) / 20.0 * 319, 319.0), 0.0)) AS INTEGER) AS px, "
+          "CAST(trunc(greatest(least((1.0 - (y + 10.0) / 20.0) * 239, 239.0), 0.0)) AS INTEGER) AS py, z FROM pts), "
+          "c AS (SELECT frame, px, py, count(*) AS points, max(z) AS z, greatest(least((max(z) + 1.0) / 4.0, 1.0), 0.0) AS q FROM m GROUP BY frame, px, py), "
+          "k AS (SELECT *, CASE WHEN q < 0.25 THEN 255 WHEN q < 0.5 THEN CAST(trunc(255 * (1 - (q - 0.25) / 0.25)) AS INTEGER) ELSE 0 END AS b, "
+          "CASE WHEN q < 0.25 THEN CAST(trunc(255 * (q / 0.25)) AS INTEGER) WHEN q < 0.75 THEN 255 ELSE CAST(trunc(255 * (1 - (q - 0.75) / 0.25)) AS INTEGER) END AS g, "
+          "CASE WHEN q < 0.5 THEN 0 WHEN q < 0.75 THEN CAST(trunc(255 * ((q - 0.5) / 0.25)) AS INTEGER) ELSE 255 END AS r FROM c)")
+
+
+def _raster(spark, sf_dir):
+    return raster.raster(pts(spark, sf_dir), ["frame"], (-10.0, 10.0), (-10.0, 10.0), (320, 240), (-1.0, 3.0))
+
+
+@query(f"WITH {RASTER} SELECT frame, px, py, points, {r('z')} AS z, b, g, r FROM k")
+def raster_top_view(spark, sf_dir):
+    """Pixels of the view from above: the highest point of each is in front."""
+    return _raster(spark, sf_dir).select("frame", "px", "py", "points", *rounded({"z": F.col("z")}), "b", "g", "r")
+
+
+@query(f"WITH {RASTER}, l AS (SELECT DISTINCT frame, py FROM k) SELECT l.frame, l.py, md5(string_agg(CASE WHEN k.px IS NULL THEN '000000' ELSE printf('%02X%02X%02X', b, g, r) END, '' ORDER BY i)) AS digest "
+       "FROM l CROSS JOIN range(320) AS t(i) LEFT JOIN k ON k.frame = l.frame AND k.py = l.py AND k.px = i GROUP BY l.frame, l.py")
+def raster_scanlines(spark, sf_dir):
+    """The picture's lines as bytes, by digest."""
+    return raster.scanlines(_raster(spark, sf_dir), ["frame"], (320, 240)).select("frame", "py", F.md5("hex").alias("digest"))

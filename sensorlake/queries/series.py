@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from sensorlake.config import TARGET_GROUPS
 from sensorlake.functions.records import frame_name, group_label, iso_utc, iso_zoned, kml_coordinate, palette, rounded
-from sensorlake.operators import filters, markers, timejoin, trackers, trajectory
+from sensorlake.operators import buckets, filters, markers, timejoin, trackers, trajectory
 from sensorlake.queries.base import SERIES, query, r, series, table
 from sensorlake.sources import sinks
 
@@ -319,8 +319,7 @@ def merge_union_sorted(spark, sf_dir):
     a = s.where("event_type = 'view'").withColumn("source_bag", F.lit("b0")).drop("event_type")
     b = s.where("event_type = 'click'").select("event_id", "ts")
     merged = a.unionByName(b, allowMissingColumns=True).withColumn("source_bag", F.coalesce("source_bag", F.lit("b1")))
-    nth = F.row_number().over(Window.partitionBy("source_bag").orderBy("ts", "event_id")).cast("long")
-    return merged.select("event_id", "source_bag", nth.alias("nth"))
+    return buckets.row_numbers(merged, ["source_bag"], "ts", ["ts", "event_id"], WIDTH).select("event_id", "source_bag", F.col("nth").cast("long").alias("nth"))
 
 
 @query("SELECT event_id // 5 AS frame, coalesce(arg_min(value, event_id) FILTER (WHERE event_type = 'view'), arg_min(value, event_id) FILTER (WHERE event_type = 'click')) AS value FROM events GROUP BY 1")

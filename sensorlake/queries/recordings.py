@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from sensorlake.functions.records import rounded
 from sensorlake.queries.base import SERIES, query, r, table
-from sensorlake.queries.series import ASOF, CAMERA, LIDAR, SIDES
+from sensorlake.queries.series import ASOF, CAMERA, CLEAN, GAP, LIDAR, SEEN, SIDES, SPEED
 from sensorlake.scratch import scratch_path
 from sensorlake.sources import bags
 from sensorlake.sources.points import decode_points, encode_points
+from sensorlake.streaming.asof import asof_stream
+from sensorlake.streaming.cleaning import cleaned_stream
 
 #: Orders in a bag; an order is a frame, 0.1 s after that of the order before.
 ORDERS = 20_000
@@ -56,25 +58,41 @@ def bag_range(spark, sf_dir):
     return messages.select(_number(F.col("bag")), "ts_ns", F.decode("payload", "UTF-8").alias("status"))
 
 
-@query(f"WITH {SERIES}, {SIDES}, j AS ({ASOF}) SELECT event_id, coalesce(camera_id, -1) AS camera_id FROM j")
-def stream_asof(spark, sf_dir):
-    """The as-of join of two streams; the events come in three slices of time, each read by a query that goes on from the
-    checkpoint of the one before, and a last row that moves the watermark past all others."""
-    from sensorlake.streaming.asof import asof_stream
-
-    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type")
-    slices = events.select("*", F.floor(F.col("ts").cast("double") / (30 * 86400)).alias("month"))
+def _streamed(spark, sf_dir, build):
+    """build(stream of events), run over three slices of time, each by a query that goes on from the checkpoint of the one
+    before; a last row moves the watermark past all others."""
+    events = table(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "event_type", "value")
+    slices = events.withColumn("month", F.floor(F.col("ts").cast("double") / (30 * 86400)))
     low, high = slices.agg(F.min("month"), F.max("month")).first()
-    folder, out, state = (scratch_path(spark, n) for n in ("events", "joined", "join-state"))
     edges = [low + (high + 1 - low) * i / 3 for i in range(4)]
-    end = events.agg(F.max("ts").alias("ts")).select(
-        F.lit(-1).cast(events.schema["user_id"].dataType).alias("user_id"), (F.col("ts") + F.expr("INTERVAL 2 DAYS")).cast(events.schema["ts"].dataType).alias("ts"),
-        F.lit(-1).cast(events.schema["event_id"].dataType).alias("event_id"), F.lit("view").alias("event_type"))
-    for part in [*(slices.where((F.col("month") >= a) & (F.col("month") < b)).select(events.columns) for a, b in zip(edges, edges[1:], strict=False)), end]:
+    end = {"user_id": F.lit(-1), "ts": F.col("ts") + F.expr("INTERVAL 30 DAYS"), "event_id": F.lit(-1), "event_type": F.lit("view"), "value": F.lit(0.0)}
+    last = events.agg(F.max("ts").alias("ts")).select(*[end[c].cast(events.schema[c].dataType).alias(c) for c in events.columns])
+    folder, out, state = (scratch_path(spark, n) for n in ("events", "streamed", "stream-state"))
+    for part in [*(slices.where((F.col("month") >= a) & (F.col("month") < b)).drop("month") for a, b in zip(edges, edges[1:], strict=False)), last]:
         part.write.mode("append").parquet(folder)
-        rows = spark.readStream.schema(events.schema).parquet(folder)
-        left = rows.where(LIDAR).select("user_id", "ts", "event_id")
-        right = rows.where(CAMERA).select("user_id", "ts", F.col("event_id").alias("camera_id"))
-        joined = asof_stream(left, right, "user_id", "ts", "1 day").select("event_id", F.coalesce("m.camera_id", F.lit(-1)).alias("camera_id"))
-        joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(joined.schema).parquet(out).where("event_id >= 0")
+        result = build(spark.readStream.schema(events.schema).parquet(folder))
+        result.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(result.schema).parquet(out)
+
+
+@query(f"WITH {SERIES}, {SIDES}, j AS ({ASOF}) SELECT event_id, coalesce(camera_id, -1) AS camera_id FROM j")
+def stream_asof(spark, sf_dir):
+    """The as-of join of two streams."""
+    def build(events):
+        left = events.where(LIDAR).select("user_id", "ts", "event_id")
+        right = events.where(CAMERA).select("user_id", "ts", F.col("event_id").alias("camera_id"))
+        return asof_stream(left, right, "user_id", "ts", "1 day").select("event_id", F.coalesce("m.camera_id", F.lit(-1)).alias("camera_id"))
+
+    return _streamed(spark, sf_dir, build).where("event_id >= 0")
+
+
+@query(f"WITH {SERIES}, {CLEAN} SELECT user_id, {r('ts')} AS ts, {r('value')} AS value, interpolated FROM fill")
+def stream_cleaned(spark, sf_dir):
+    """Spikes and gaps of a stream of frames."""
+    def build(events):
+        place = lambda v: F.when(F.expr(SEEN), v)
+        frames = events.select("user_id", "ts", place(F.col("value")).alias("e"), place(F.lit(0.0)).alias("n"), place(F.lit(0.0)).alias("u"))
+        return cleaned_stream(frames, "user_id", "ts", "1 day", SPEED, GAP, idle=20 * 86_400.0)
+
+    out = _streamed(spark, sf_dir, build).where("user_id >= 0")
+    return out.select("user_id", *rounded({"ts": F.unix_micros("ts") / 1e6, "value": F.col("e")}), "interpolated")

@@ -36,7 +36,7 @@ class Track:
 
     def _fast(self, a: list | None, b: list | None) -> bool:
         """Whether the step from a to b is faster than allowed; no step where one is missing or time does not advance."""
-        return a is not None and b is not None and b[0] > a[0] and hypot(b[1] - a[1], b[2] - a[2]) / ((b[0] - a[0]) / 1e6) > self.max_speed
+        return a is not None and b is not None and b[0] > a[0] and hypot(b[1] - a[1], b[2] - a[2]) / (b[0] / 1e6 - a[0] / 1e6) > self.max_speed
 
     def frame(self, at: int, place: list | None) -> Iterator[tuple]:
         """Takes the next frame in time order, with its observation or None; gives the rows that are certain by it."""
@@ -58,10 +58,10 @@ class Track:
         if self._fast(self.before, one) and self._fast(one, following):
             self.waiting = sorted([*self.waiting, one[0]])
             return
-        if self.kept is not None and (gap := (one[0] - self.kept[0]) / 1e6) <= self.max_gap:
+        if self.kept is not None and (gap := one[0] / 1e6 - self.kept[0] / 1e6) <= self.max_gap:
             for t in self.waiting:
                 if t < one[0]:
-                    share = (t - self.kept[0]) / 1e6 / gap
+                    share = (t / 1e6 - self.kept[0] / 1e6) / gap
                     yield (t, *[a + (b - a) * share for a, b in zip(self.kept[1:], one[1:], strict=True)], True)
         yield (*one, False)
         self.kept, self.waiting = one, [t for t in self.waiting if t > one[0]]

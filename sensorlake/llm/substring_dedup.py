@@ -73,11 +73,12 @@ def fingerprints(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def windows_under(docs: DataFrame, window: int, gram: int) -> DataFrame:
-    """(a, w, doc_id, start, t) of the windows of docs(doc_id, text, hits, t) whose fingerprint is among hits."""
+    """(a, w, doc_id, start) of the windows of docs(doc_id, text, hits) whose fingerprint is among hits; with t if docs has it."""
+    names = ["doc_id", *(["t"] if "t" in docs.columns else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, tags = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3))
+            own = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 3)[:len(names)]]
             for chunk in chunks(batch.column(1)):
                 at, doc, place, grams = winnow(chunk, window, gram)
                 anchors = signed(grams)[place] if len(at) else at
@@ -89,11 +90,11 @@ def windows_under(docs: DataFrame, window: int, gram: int) -> DataFrame:
                     keep[edges[i] : edges[i + 1]] = np.isin(anchors[edges[i] : edges[i + 1]], hits.to_numpy(zero_copy_only=False))
                 at, doc = at[keep], doc[keep]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(anchors[keep]), pa.array(other[at] if len(at) else at),
-                     pa.array(ids[chunk.first_row + doc]), pa.array(at - chunk.word_bounds[doc]), pa.array(tags[chunk.first_row + doc])],
-                    names=["a", "w", "doc_id", "start", "t"])
+                    [pa.array(anchors[keep]), pa.array(other[at] if len(at) else at), pa.array(at - chunk.word_bounds[doc]),
+                     *[pa.array(x[chunk.first_row + doc]) for x in own]],
+                    names=["a", "w", "start", *names])
 
-    return docs.select("doc_id", "text", "hits", "t").mapInArrow(run, "a long, w long, doc_id long, start long, t long")
+    return docs.select("doc_id", "text", "hits", *names[1:]).mapInArrow(run, "a long, w long, start long" + "".join(f", {n} long" for n in names))
 
 
 OUT = "doc_id long, n_words long, n_removed long, kept string, removed array<struct<start:long,stop:long>>, covered array<long>"
@@ -210,10 +211,10 @@ class FingerprintIndex:
         wanted = BucketedTable(wanted.groupBy("doc_id").agg(F.collect_set("a").alias("hits")), "wanted", "doc_id", self.buckets)
         # the texts of an id are told apart by a hash, where ids of the batch have several rows at all
         mixed = not content.read().groupBy("doc_id").count().where("count > 1").isEmpty()
-        tag = F.xxhash64("text") if mixed else F.lit(0).cast("long")
+        tag = {"t": F.xxhash64("text")} if mixed else {}
         listed = None
         for table, age in [(content, 1)] + [(c, 0) for c in self.contents]:
-            part = windows_under(table.read().join(wanted.read(), "doc_id").withColumn("t", tag), self.window, self.gram).withColumn("age", F.lit(age))
+            part = windows_under(table.read().join(wanted.read(), "doc_id").withColumns(tag), self.window, self.gram).withColumn("age", F.lit(age))
             listed = part if listed is None else listed.unionByName(part)
         windows = stored(self._order(listed, content), "windows")
         firsts = stored(windows.groupBy("a", "w").agg(F.min("at").alias("first"), F.count("*").alias("c")).where("c > 1"), "first-windows")
@@ -221,7 +222,7 @@ class FingerprintIndex:
         start = F.struct("t", "start") if mixed else F.col("start")
         texts = content.read().join(repeated.groupBy("doc_id").agg(F.collect_list(start).alias("starts")), "doc_id", "left")
         if mixed:
-            texts = texts.withColumn("t", tag).withColumn("starts", F.transform(F.filter("starts", lambda x: x["t"] == F.col("t")), lambda x: x["start"]))
+            texts = texts.withColumns(tag).withColumn("starts", F.transform(F.filter("starts", lambda x: x["t"] == F.col("t")), lambda x: x["start"]))
         return cut(texts, self.window, self.gram), [wanted, windows, firsts]
 
     def _order(self, windows: DataFrame, content: BucketedTable) -> DataFrame:
@@ -233,7 +234,7 @@ class FingerprintIndex:
         width = high - low + 1
         kind = "long" if 2 * width * length < 1 << 63 else "decimal(38,0)"
         at = f"((CAST(age AS {kind}) * {width}{'L' if kind == 'long' else ''} + (doc_id - {low}L)) * {length}L + start)"
-        return windows.select("a", "w", "doc_id", "start", "t", "age", F.expr(f"CAST({at} AS {kind})").alias("at"))
+        return windows.select("*", F.expr(f"CAST({at} AS {kind})").alias("at"))
 
     def _compact(self) -> list[Run]:
         """Merges the runs of a level that has `fan` of them, without the rows under tombstones; the runs that are merged."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sensorlake.scratch import discard, forget, scratch_path, stored
+from sensorlake.scratch import forget, scratch_path, stored
 
 #: Components of the anchors that are broadcast at once (8 bytes each).
 BLOCK_COMPONENTS = 1 << 21

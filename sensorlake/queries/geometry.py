@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from sensorlake.config import Camera
 from sensorlake.functions import geo, projection
 from sensorlake.functions.records import rounded
+from sensorlake.operators import marker_pose as pose_of_markers
 from sensorlake.plans import flows
-from sensorlake.queries.base import GEO, VEC, geo_points, query, r, vec
+from sensorlake.queries.base import GEO, VEC, geo_points, query, r, table, vec
 
 RAD = "e AS (SELECT *, radians(lat) AS la, radians(lon) AS lo FROM g), n AS (SELECT *, 6378137.0 / sqrt(1.0 - 6.69437999014e-3 * sin(la) * sin(la)) AS n FROM e)"
 ECEF = f"{GEO}, {RAD}, c AS (SELECT *, (n + h) * cos(la) * cos(lo) AS x, (n + h) * cos(la) * sin(lo) AS y, (n * (1.0 - 6.69437999014e-3) + h) * sin(la) AS z FROM n)"
@@ -215,3 +216,21 @@ def filled_world(spark, sf_dir):
     local = vec(spark, sf_dir).select("id", F.col("x").alias("e"), F.col("y").alias("n"), F.col("z").alias("u"))
     out = flows.placed(local, poses)
     return out.select("id", *rounded({"lat": F.col("lat"), "lon": F.col("lon")}, 7), *rounded({"height": F.col("height")}, 3))
+
+
+POSES = {n: f"CAST({e} AS DOUBLE)" for n, e in {
+    "rx": "(c_custkey % 7 - 3) * 0.1", "ry": "(c_custkey % 11 - 5) * 0.1", "rz": "(c_custkey % 13 - 6) * 0.2",
+    "tx": "(c_custkey % 5 - 2) * 0.3", "ty": "(c_custkey % 9 - 4) * 0.2", "tz": "2 + (c_custkey % 17) * 0.1"}.items()}
+
+
+@query(f"SELECT c_custkey AS id, {_rounded_sql(POSES, 4)}, true AS fits FROM customer")
+def marker_pose(spark, sf_dir):
+    """Poses of markers from the corners that planted poses project."""
+    planted = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), *[F.expr(e).alias(n) for n, e in POSES.items()])
+    turn, shift = geo.rodrigues(F.col("rx"), F.col("ry"), F.col("rz")), (F.col("tx"), F.col("ty"), F.col("tz"))
+    corners = []
+    for corner in pose_of_markers.square(0.5).tolist():
+        x, y, z = geo.rigid(turn, shift, tuple(map(F.lit, corner)))
+        corners += [x / z, y / z]
+    found = pose_of_markers.marker_poses(planted.select("id", F.array(*corners).alias("corners")), 0.5)
+    return found.select("id", *rounded({n: F.col(n) for n in POSES}, 4), (F.col("error") < 1e-9).alias("fits"))

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from sensorlake.config import TARGET_GROUPS
 from sensorlake.functions.records import frame_name, group_label, iso_utc, iso_zoned, kml_coordinate, palette, rounded

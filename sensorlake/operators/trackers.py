@@ -6,16 +6,22 @@ The same step functions run in batch (one recording per group) and in Structured
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from itertools import groupby
 from math import hypot, sqrt
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from sensorlake.config import Tracker
 
 Point = tuple[float, float, float]
+NAN = float("nan")
 
 
 @dataclass
@@ -142,46 +148,66 @@ MULTI_SCHEMA = ("ts double, track_id int, x double, y double, z double, vx doubl
                 "quality double, lifecycle string, hits int, misses int")
 
 
-def single_rows(tracker: Single, pdf: pd.DataFrame) -> list[tuple]:
-    """pdf(ts, x, y, z, score; x null: a frame without candidates), folded in time order."""
-    rows = []
-    for ts, g in pdf.sort_values(["ts", "candidate_id"], kind="stable").groupby("ts", sort=True):
-        g = g[g["x"].notna()]
-        s = tracker.step(float(ts), [((a, b, c), d) for a, b, c, d in zip(g["x"], g["y"], g["z"], g["score"], strict=True)])
-        rows.append((float(ts), *(s.pos + s.vel + (s.source,) if s else (None,) * 7), tracker.quality, tracker.lifecycle))
-    return rows
+def frames(rows: Iterable[tuple]) -> Iterator[tuple[float, list[tuple[Point, float]]]]:
+    """(ts, candidates as (footpoint, score)) of one recording's rows (ts, x, y, z, score) in order; x NaN: no candidate."""
+    for ts, of_frame in groupby(rows, itemgetter(0)):
+        yield ts, [((x, y, z), score) for _, x, y, z, score in of_frame if x == x]
 
 
-def multi_rows(tracker: Multi, pdf: pd.DataFrame) -> list[tuple]:
-    rows = []
-    for ts, g in pdf.sort_values(["ts", "candidate_id"], kind="stable").groupby("ts", sort=True):
-        g = g[g["x"].notna()]
-        for i, t in tracker.step(float(ts), list(zip(g["x"], g["y"], g["z"], strict=True))):
-            rows.append((float(ts), i, *t.state.pos, *t.state.vel, t.state.source, tracker.quality(t), "confirmed", t.hits, t.misses))
-    return rows
+def single_rows(tracker: Single, rows: Iterable[tuple]) -> Iterator[tuple]:
+    """rows(ts, x, y, z, score; x NaN: a frame without candidates) in order of time and id, folded."""
+    for ts, found in frames(rows):
+        s = tracker.step(ts, found)
+        yield (ts, *(s.pos + s.vel + (s.source,) if s else (None,) * 7), tracker.quality, tracker.lifecycle)
 
 
-def _folded(candidates: DataFrame, key: str, schema: str, fold) -> DataFrame:
-    kind = candidates.schema[key].dataType.simpleString()
-    names = [c.split()[0] for c in schema.split(", ")]
+def multi_rows(tracker: Multi, rows: Iterable[tuple]) -> Iterator[tuple]:
+    for ts, found in frames(rows):
+        for i, t in tracker.step(ts, [p for p, _ in found]):
+            yield (ts, i, *t.state.pos, *t.state.vel, t.state.source, tracker.quality(t), "confirmed", t.hits, t.misses)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = pd.DataFrame(fold(pdf), columns=names)
-        out.insert(0, key, pdf[key].iloc[0])
-        return out
 
-    return candidates.groupBy(key).applyInPandas(run, f"{key} {kind}, {schema}")
+def _folded(candidates: DataFrame, key: str, schema: str, fold) -> DataFrame:
+    """fold(rows of one recording) over every recording: a task streams its sorted recordings one after the other and
+    holds one frame and one tracker."""
+    out_schema = f"{key} {candidates.schema[key].dataType.simpleString()}, {schema}"
+    arrow = to_arrow_schema(StructType.fromDDL(out_schema))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            keys = [k if k == k else NAN for k in batch.column(0).to_pylist()]  # one object, so that they are one recording
+            yield from zip(keys, *(c.to_numpy(zero_copy_only=False).tolist() for c in batch.columns[1:6]), strict=True)
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=f.name != key) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = []
+        for value, recording in groupby(rows(batches), itemgetter(0)):
+            for row in fold(r[1:] for r in recording):
+                out.append((value, *row))
+                if len(out) == 10_000:
+                    yield made(out)
+                    out = []
+        if out:
+            yield made(out)
+
+    known = candidates if "score" in candidates.columns else candidates.withColumn("score", F.lit(NAN))  # many targets need none
+    numbers = [F.col(c).cast("double").alias(c) for c in ("ts", "x", "y", "z", "score")]
+    ready = known.select(key, *numbers, "candidate_id").where("ts IS NOT NULL AND NOT isnan(ts)")
+    dealt = ready.repartition(key).sortWithinPartitions(key, "ts", F.asc_nulls_last("candidate_id"))
+    return dealt.mapInArrow(run, out_schema)
 
 
 def track_single(candidates: DataFrame, key: str, cfg: Tracker = Tracker()) -> DataFrame:
     """A tracker state per key and frame of candidates(key, ts, candidate_id, x, y, z, score).  A recording is
     one key: its frames depend on each other, so it is folded in one task; recordings run side by side."""
-    return _folded(candidates, key, SINGLE_SCHEMA, lambda pdf: single_rows(Single(cfg), pdf))
+    return _folded(candidates, key, SINGLE_SCHEMA, lambda rows: single_rows(Single(cfg), rows))
 
 
 def track_multi(candidates: DataFrame, key: str, cfg: Tracker = Tracker()) -> DataFrame:
     """The confirmed tracks per key and frame; ids start at 1 in every recording."""
-    return _folded(candidates, key, MULTI_SCHEMA, lambda pdf: multi_rows(Multi(cfg), pdf))
+    return _folded(candidates, key, MULTI_SCHEMA, lambda rows: multi_rows(Multi(cfg), rows))
 
 
 def alpha_fold(samples: Column, gain: float) -> Column:

@@ -3,15 +3,19 @@
 from __future__ import annotations
 
 import json
+import pickle
+from bisect import bisect_right
 from collections.abc import Iterator
+from operator import itemgetter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
-
-ROW = "at long, row string"
+OPTIONS = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+#: Calls and states of a batch at most; a part holds what its keys wait for, so more keys by a hundred want more parts.
+PARTS = 2048
 
 
 def _rank(right: tuple) -> tuple:
@@ -19,79 +23,80 @@ def _rank(right: tuple) -> tuple:
     return right[0], [(v is not None, v) for v in json.loads(right[1]).values()]
 
 
-class BackwardJoin(StatefulProcessor):
-    """Holds the left rows that the watermark has not passed, and of the right rows the newest that it has passed and the
-    later ones: what was read ahead of the left clock is pushed back until that clock arrives."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.left, self.right = handle.getListState("left", ROW), handle.getListState("right", ROW)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows), ignore_index=True)
-        for side, state in ((0, self.left), (1, self.right)):
-            some = came[came["side"] == side]
-            if len(some):
-                state.appendList(list(zip(some["at"].astype(int), some["row"], strict=True)))
-        waiting = came.loc[came["side"] == 0, "at"]
-        if len(waiting):  # one timer for the first of them; it sets the next one
-            self.handle.registerTimer(-(-int(waiting.min()) // 1000))
-        if not self.left.exists():
-            self._forget(timerValues.getCurrentWatermarkInMs() * 1000)
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        left = sorted(tuple(r) for r in self.left.get()) if self.left.exists() else []
-        right = sorted((tuple(r) for r in self.right.get()), key=_rank) if self.right.exists() else []
-        out, newest, i = [], None, 0
-        for at, row in [r for r in left if r[0] <= passed]:
-            while i < len(right) and right[i][0] <= at:
-                newest, i = right[i][1], i + 1
-            out.append((*key, at, row, newest))
-        later = [r for r in left if r[0] > passed]
-        self.left.clear()
-        if later:
-            self.left.put(later)
-            self.handle.registerTimer(-(-later[0][0] // 1000))
-        self._forget(passed)
-        if out:
-            yield pd.DataFrame(out, columns=["key", "at", "left", "right"])
-
-    def _forget(self, passed: int) -> None:
-        if self.right.exists():
-            rows = sorted((tuple(r) for r in self.right.get()), key=_rank)
-            gone = sum(r[0] <= passed for r in rows) - 1
-            if gone > 0:
-                self.right.put(rows[gone:])
-
-    def close(self) -> None:
-        pass
-
-
-def asof_stream(left: DataFrame, right: DataFrame, key: str, ts: str, delay: str) -> DataFrame:
+def _by_time(rights: list[tuple]) -> list[tuple]:
+    return sorted(rights, key=_rank if len({r[0] for r in rights}) < len(rights) else itemgetter(0))
+
+
+def joined_until(passed: int, lefts: list[tuple], rights: list[tuple]) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """From waiting rows (at, row) of one key: the pairs of rows that are certain once the watermark has passed that time, and
+    what waits on.  What was read ahead of the left clock is pushed back until that clock arrives."""
+    lefts, rights = sorted(lefts), _by_time(rights)
+    out, newest, i = [], None, 0
+    for at, row in lefts:
+        if at > passed:
+            break
+        while i < len(rights) and rights[i][0] <= at:
+            newest, i = rights[i][1], i + 1
+        out.append((row, newest))
+    gone = max(bisect_right(rights, passed, key=itemgetter(0)) - 1, 0)
+    return out, lefts[len(out):], rights[gone:]
+
+
+def _step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Holds, for each key of a part, the left rows that the watermark has not passed, and of the right rows the newest that it
+    has passed and the later ones."""
+    waiting, still, pairs = pickle.loads(state.get[0]) if state.exists else {}, {}, []
+    for came in () if state.hasTimedOut else batches:
+        for key, side, at, row in zip(*(came[c].tolist() for c in ("key", "side", "at", "row")), strict=True):
+            waiting.setdefault(key, ([], []))[side].append((at, row))
+    passed = state.getCurrentWatermarkMs() * 1000
+    for key, (lefts, rights) in waiting.items():
+        out, lefts, rights = joined_until(passed, lefts, rights)
+        pairs += out
+        if lefts or rights:
+            still[key] = lefts, rights
+    state.update((pickle.dumps(still),))
+    if times := [lefts[0][0] for lefts, _ in still.values() if lefts]:
+        call_again(state, min(times))
+    if pairs:
+        left, right = zip(*pairs, strict=True)
+        yield pd.DataFrame({"left": left, "right": right}, dtype=object)
+
+
+def in_parts(rows: DataFrame, parts: int) -> DataFrame:
+    """The column key as text and the part of all keys that it falls in: a call for each of many keys would cost far more than
+    the rows of most of them."""
+    text = F.to_json(F.struct("key"), OPTIONS)
+    return rows.withColumn("key", text).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
+
+
+def call_again(state: GroupState, at: int) -> None:
+    """Sets the timer for when the watermark has passed the time `at`, in microseconds."""
+    state.setTimeoutTimestamp(max(-(-at // 1000) - 1, state.getCurrentWatermarkMs() + 1, 1))
+
+
+def asof_stream(left: DataFrame, right: DataFrame, key: str, ts: str, delay: str, parts: int = PARTS) -> DataFrame:
     """The columns of left and a struct m of right's other columns (null where none precedes) for streams with a time stamp ts.
 
     A left row comes out once the watermark, `delay` behind the newest row of both streams, has passed it, for then no
     right row can come before it any more; so the result does not depend on how batches cut the streams.  Rows of either
     stream that come later than that are dropped, as everywhere in Structured Streaming.  The state of a key holds what is
-    newer than the watermark and one right row more.  It needs the RocksDB state store:
-    spark.sql.streaming.stateStore.providerClass; `use_rocksdb` sets it.  Rows with a null key join with each other's, those
+    newer than the watermark and one right row more.  Keys are dealt to `parts`, whose states come and go with their rows: a batch
+    makes at most a call for each part, however many keys there are.  The states lie in the RocksDB store, not in memory:
+    `use_rocksdb` sets it.  Rows with a null key join with each other's, those
     with a null time match nothing and never come out.
     """
     use_rocksdb(left.sparkSession)
     fields = [c for c in right.columns if c != key]
-    options = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
     def side(df: DataFrame, number: int, columns: list[str]) -> DataFrame:
         return df.select(F.col(key).alias("key"), F.col(ts).alias("event_time"), F.unix_micros(ts).alias("at"), F.lit(number).alias("side"),
-                         F.to_json(F.struct(*columns), options).alias("row"))
+                         F.to_json(F.struct(*columns), OPTIONS).alias("row"))
 
     both = side(left, 0, left.columns).unionByName(side(right, 1, fields)).where("at IS NOT NULL").withWatermark("event_time", delay)
-    kind = left.schema[key].dataType.simpleString()
-    joined = both.groupBy("key").transformWithStateInPandas(BackwardJoin(), f"key {kind}, at long, left string, right string", "Append", "EventTime")
+    joined = in_parts(both, parts).groupBy("part").applyInPandasWithState(_step, "left string, right string", "waiting binary", "append", GroupStateTimeout.EventTimeTimeout)
     kept = StructType([right.schema[c] for c in fields])
-    return joined.select(F.from_json("left", left.schema, options).alias("l"), F.from_json("right", kept, options).alias("m")).select("l.*", "m")
+    return joined.select(F.from_json("left", left.schema, OPTIONS).alias("l"), F.from_json("right", kept, OPTIONS).alias("m")).select("l.*", "m")
 
 
 def use_rocksdb(spark) -> None:

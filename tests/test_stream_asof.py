@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from sensorlake.operators import timejoin
 from sensorlake.scratch import scratch_path
-from sensorlake.streaming.asof import asof_stream
+from sensorlake.streaming.asof import asof_stream, joined_until
 
 LEFT, RIGHT = "k string, t timestamp, id long, side string", "k string, t timestamp, v double, cam long, side string"
 
@@ -64,3 +64,30 @@ def test_late_rows_are_dropped_and_early_right_rows_wait(spark):
         part.coalesce(1).write.mode("append").parquet(folder)
         found = run(spark, folder, out, state)
     assert sorted((r["id"], r["m"]["v"]) for r in found.collect()) == [(1, 1.0), (2, 5.0)]
+
+
+def test_many_keys_share_few_calls(spark):
+    """Keys of a part keep their own rows: large numbers, a null, and a number for each of many; one state for each part."""
+    rng = random.Random(4)
+    keys = [None, 2**60, 2**60 + 1, *range(40)]
+    rows = [(rng.choice(keys), 1_000_000 * rng.randint(1, 10**6), i, rng.choice("lr")) for i in range(1500)] + [(7, 10**13, -1, "l")]
+    folder, out, state = (scratch_path(spark, n) for n in ("in", "out", "state"))
+    df = spark.createDataFrame(rows, "k long, at long, id long, side string").withColumn("t", F.timestamp_micros("at")).drop("at")
+    df.coalesce(1).write.parquet(folder)
+    stream = spark.readStream.schema(df.schema).parquet(folder)
+    joined = asof_stream(stream.where("side = 'l'").select("k", "t", "id"), stream.where("side = 'r'").select("k", "t", F.col("id").alias("cam")), "k", "t", "1 second", parts=3)
+    query = joined.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start()
+    try:
+        assert query.awaitTermination(100)
+        assert max(p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress) == 3
+    finally:
+        query.stop()
+    got = {(r["k"], r["id"], r["m"] and r["m"]["cam"]) for r in spark.read.schema(joined.schema).parquet(out).collect() if r["id"] >= 0}
+    want = {(k, i, max(((a, j) for key, a, j, s in rows if key == k and s == "r" and a <= at), default=(0, None))[1]) for k, at, i, side in rows if side == "l" and i >= 0}
+    assert len({(k, a) for k, a, _, s in rows if s == "r"}) == sum(r[3] == "r" for r in rows) and got == want
+
+
+def test_what_is_certain_and_what_waits():
+    lefts, rights = [(30, "c"), (5, "a"), (20, "b")], [(25, '{"v":1}'), (6, '{"v":2}'), (6, '{"v":null}'), (40, '{"v":3}')]
+    assert joined_until(20, lefts, rights) == ([("a", None), ("b", '{"v":2}')], [(30, "c")], [(6, '{"v":2}'), (25, '{"v":1}'), (40, '{"v":3}')])
+    assert joined_until(4, [], []) == ([], [], [])

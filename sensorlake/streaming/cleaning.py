@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import json
+import pickle
 from collections.abc import Iterator
 from math import hypot
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructField, StructType
 
 from sensorlake.config import MAX_GAP_S, MAX_SPIKE_SPEED
-from sensorlake.streaming.asof import use_rocksdb
+from sensorlake.streaming.asof import OPTIONS, PARTS, call_again, in_parts, use_rocksdb
 
 OUT = "at long, e double, n double, u double, interpolated boolean"
 
@@ -69,67 +70,62 @@ class Track:
     def end(self) -> Iterator[tuple]:
         """The last observation has none after it and stays."""
         yield from self._decide(None)
-        self.before, self.newest, self.waiting = self.newest, None, []
-
-
-class Cleaning(StatefulProcessor):
-    def __init__(self, max_speed: float, max_gap: float, idle: float):
-        self.max_speed, self.max_gap, self.idle = max_speed, max_gap, idle
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.early = handle.getListState("early", "at long, e double, n double, u double")
-        self.track = handle.getValueState("track", "last long, track string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        came = pd.concat(list(rows), ignore_index=True)
-        self.early.appendList([(int(t), *[None if pd.isna(v) else float(v) for v in p]) for t, *p in came[["at", "e", "n", "u"]].itertuples(index=False)])
-        self.handle.registerTimer(-(-int(came["at"].min()) // 1000))
-        yield from ()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed = timerValues.getCurrentWatermarkInMs() * 1000
-        early = sorted((tuple(r) for r in self.early.get()), key=lambda r: (r[0], r[1] is None)) if self.early.exists() else []
-        last, held = self.track.get() if self.track.exists() else (None, "null")
-        track, out = Track(self.max_speed, self.max_gap, json.loads(held)), []
-        for at, *place in [r for r in early if r[0] <= passed]:
-            if last is not None and at - last > self.idle * 1e6:
-                out += track.end()
-            out += track.frame(at, None if None in place else place)
-            last = at
-        later = [r for r in early if r[0] > passed]
-        self.early.clear()
-        if later:
-            self.early.put(later)
-            self.handle.registerTimer(-(-later[0][0] // 1000))
-        if last is not None:
-            if passed - last > self.idle * 1e6:
-                out += track.end()
-            else:
-                self.handle.registerTimer(int(last // 1000 + self.idle * 1000) + 1)
-            self.track.update((last, json.dumps(track.state())))
-        if out:
-            yield pd.DataFrame([(*key, *r) for r in out], columns=["key", *[c.split()[0] for c in OUT.split(", ")]])
-
-    def close(self) -> None:
-        pass
+        self.before, self.newest, self.waiting = self.newest or self.before, None, []
+
+
+def cleaned_until(passed: int, track: Track, last: int | None, early: list[tuple], idle: float) -> tuple[list[tuple], int | None, list[tuple]]:
+    """Takes the waiting frames (at, e, n, u) of one key that the watermark has passed: the rows that are certain by them, the
+    time of the last frame taken, and the frames that wait on."""
+    early, out, taken = sorted(early, key=lambda r: (r[0], r[1] is None)), [], 0
+    for at, *place in early:
+        if at > passed:
+            break
+        if last is not None and at - last > idle * 1e6:
+            out += track.end()
+        out += track.frame(at, None if None in place else place)
+        last, taken = at, taken + 1
+    if last is not None and passed - last > idle * 1e6:
+        out += track.end()
+    return out, last, early[taken:]
 
 
 def cleaned_stream(frames: DataFrame, key: str, ts: str, delay: str, max_speed: float = MAX_SPIKE_SPEED, max_gap: float = MAX_GAP_S,
-                   idle: float = 60.0) -> DataFrame:
+                   idle: float = 60.0, parts: int = PARTS) -> DataFrame:
     """(key, ts, e, n, u, interpolated) of a stream of frames(key, ts, e, n, u), whose places are null where nothing was observed:
     the observations without spikes, and the frames in gaps of at most max_gap seconds with places in between.
 
     Frames are taken in time order as the watermark, `delay` behind the newest, passes them.  A row is certain and comes
     out with the next observation, or when no frame follows for `idle` seconds of event time (more than max_gap), which
     ends a track: its last observation stays.  The state of a key is what is newer than the watermark and what one open gap
-    holds.  Frames of a key have different times; those with a null time never come out.
+    holds; keys are dealt to `parts`, and a batch makes at most a call for each part.  Frames of a key have different times; those with a null time never come out.
     """
     if idle <= max_gap:
         raise ValueError("a track ends later than a gap closes")
     use_rocksdb(frames.sparkSession)
     places = [F.col(c).cast("double").alias(c) for c in ("e", "n", "u")]
     rows = frames.select(F.col(key).alias("key"), F.col(ts).alias("event_time"), F.unix_micros(ts).alias("at"), *places).where("at IS NOT NULL").withWatermark("event_time", delay)
-    kind = frames.schema[key].dataType.simpleString()
-    out = rows.groupBy("key").transformWithStateInPandas(Cleaning(max_speed, max_gap, idle), f"key {kind}, {OUT}", "Append", "EventTime")
+    names, held_key = ["key", *(c.split()[0] for c in OUT.split(", "))], StructType([StructField("key", frames.schema[key].dataType)])
+
+    def step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        tracks, done, timers = pickle.loads(state.get[0]) if state.exists else {}, [], []
+        for came in () if state.hasTimedOut else batches:
+            places = ([None if v != v else v for v in came[c].tolist()] for c in ("e", "n", "u"))
+            for k, *frame in zip(came["key"].tolist(), came["at"].tolist(), *places, strict=True):
+                tracks.setdefault(k, ([], None, None))[0].append(tuple(frame))
+        passed = state.getCurrentWatermarkMs() * 1000
+        for k, (early, last, held) in tracks.items():
+            track = Track(max_speed, max_gap, held)
+            certain, last, early = cleaned_until(passed, track, last, early, idle)
+            done += [(k, *r) for r in certain]
+            tracks[k] = early, last, track.state()
+            timers += [early[0][0]] if early else []
+            timers += [int(last + idle * 1e6) + 1] if last is not None and passed - last <= idle * 1e6 else []
+        state.update((pickle.dumps(tracks),))
+        if timers:
+            call_again(state, min(timers))
+        if done:
+            yield pd.DataFrame(dict(zip(names, zip(*done, strict=True), strict=True)))
+
+    out = in_parts(rows, parts).groupBy("part").applyInPandasWithState(step, f"key string, {OUT}", "tracks binary", "append", GroupStateTimeout.EventTimeTimeout)
+    out = out.withColumn("key", F.from_json("key", held_key, OPTIONS)["key"])
     return out.select(F.col("key").alias(key), F.timestamp_micros("at").alias(ts), "e", "n", "u", "interpolated")

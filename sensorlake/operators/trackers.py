@@ -33,14 +33,16 @@ class State:
 
 
 def moved(s: State, dt: float) -> Point:
-    return tuple(p + v * dt for p, v in zip(s.pos, s.vel, strict=True))
+    (x, y, z), (u, v, w) = s.pos, s.vel  # written out, as it runs for every frame
+    return x + u * dt, y + v * dt, z + w * dt
 
 
 def filtered(s: State, start: Point, measured: Point, ts: float, gain: float) -> State:
     """Blend of a predicted and a measured position; the velocity follows from the positions."""
     dt = max(ts - s.ts, 1e-3)
-    pos = tuple(a + gain * (m - a) for a, m in zip(start, measured, strict=True))
-    return State(ts, pos, tuple((n - o) / dt for n, o in zip(pos, s.pos, strict=True)))
+    (a, b, c), (u, v, w), (x, y, z) = start, measured, s.pos
+    pos = a + gain * (u - a), b + gain * (v - b), c + gain * (w - c)
+    return State(ts, pos, ((pos[0] - x) / dt, (pos[1] - y) / dt, (pos[2] - z) / dt))
 
 
 @dataclass
@@ -70,7 +72,8 @@ class Single:
         if candidates and ahead is None:
             chosen = max(candidates, key=lambda c: c[1])[0]
         elif candidates:
-            gap = lambda p: sqrt(sum((a - b) ** 2 for a, b in zip(p, ahead.pos, strict=True)))
+            x, y, z = ahead.pos
+            gap = lambda p: sqrt(sum(((p[0] - x) ** 2, (p[1] - y) ** 2, (p[2] - z) ** 2)))
             nearest = min((c[0] for c in candidates), key=gap)
             chosen = nearest if gap(nearest) <= self.cfg.gate else None
         if chosen is None:

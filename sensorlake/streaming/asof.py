@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from operator import itemgetter
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -63,10 +63,10 @@ def _step(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
         yield pd.DataFrame({"left": left, "right": right}, dtype=object)
 
 
-def in_parts(rows: DataFrame, parts: int) -> DataFrame:
-    """The column key as text and the part of all keys that it falls in: a call for each of many keys would cost far more than
-    the rows of most of them."""
-    text = F.to_json(F.struct("key"), OPTIONS)
+def in_parts(rows: DataFrame, parts: int, text: Column | None = None) -> DataFrame:
+    """The column key as text (JSON unless told otherwise) and the part of all keys that it falls in: a call for each of many
+    keys would cost far more than the rows of most of them."""
+    text = F.to_json(F.struct("key"), OPTIONS) if text is None else text
     return rows.withColumn("key", text).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)))
 
 
